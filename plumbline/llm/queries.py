@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import frequency, topn
+from plumbline.llm import encode, frequency, topn, truncation
 from plumbline.runtime import read
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -82,3 +84,31 @@ def p5_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("p5_found", f"SELECT field, term, mark FROM ({_P5_SQL}) WHERE mark IS NOT NULL")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frequencies(spark, sf_dir).where("mark IS NOT NULL").select("field", "term", "mark")
+
+
+# ---- 6: token ids of every page
+
+
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer's file: in the folder PLUMBLINE_TOKENIZERS, else the one installed."""
+    folder = os.environ.get("PLUMBLINE_TOKENIZERS", "/opt/tokenizers")
+    return os.path.join(folder, name)
+
+
+@_query("p6_ids")
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode_corpus(read(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path("byte_bpe_50k.json"))
+
+
+# ---- 8: pages that lack their end
+
+
+@_query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = truncation.find_truncated(read(spark, sf_dir, "documents"), "doc_id", "text", "source", "line_boxes")
+    return found.where("cut").select("doc_id")
+
+
+@_query("p8_sources")
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_by_source(read(spark, sf_dir, "documents"), "doc_id", "text", "source", "line_boxes")
