@@ -13,6 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: Texts of one slice: their new words are gathered into one inverted index and replayed together.
 SLICE_TEXTS = 1_000
@@ -159,7 +160,7 @@ def encode_corpus(df: DataFrame, doc_id: str, text: str, vocabulary_path: str) -
     """
     spark = df.sparkSession
     vocabulary = spark.sparkContext.broadcast(Path(vocabulary_path).read_bytes())
-    schema = df.select(F.col(doc_id).alias("doc_id")).schema.add("ids", "array<int>")
+    schema = df.select(F.col(doc_id).alias("doc_id")).schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = vocabulary.value

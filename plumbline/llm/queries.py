@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import encode, frequency, topn, truncation
+from plumbline.llm import encode, frequency, leakage, topn, truncation
 from plumbline.runtime import read
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -112,3 +112,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("p8_sources")
 def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_by_source(read(spark, sf_dir, "documents"), "doc_id", "text", "source", "line_boxes")
+
+
+# ---- 7: held-out passages in the pages
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@_query("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+@_query("p7_leaked_items")
+def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that leaked, with the number of pages that hold them."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("pages"), F.max("span").alias("longest_run"))
