@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import encode, frequency, leakage, topn, truncation
+from plumbline.llm import canonical, encode, frequency, leakage, topn, truncation
 from plumbline.runtime import read
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -130,3 +130,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items that leaked, with the number of pages that hold them."""
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("pages"), F.max("span").alias("longest_run"))
+
+
+# ---- 3: the dish that each typed value stands for
+
+
+def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    photos = read(spark, sf_dir, "photos").select(F.array("dish", "gt_label").alias("own"), "aliases")
+    own = photos.select(F.explode(F.concat("own", F.coalesce("aliases", F.array().cast("array<string>")))).alias("entered"))
+    return own.unionByName(read(spark, sf_dir, "reader_labels").select(F.col("raw").alias("entered")))
+
+
+@_query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = canonical.map_values(typed_values(spark, sf_dir), "entered", read(spark, sf_dir, "vocab"), "vocab_id", "name", "aliases", "country")
+    return found.select("entered", F.col("entry_id").alias("vocab_id"))
