@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import canonical, encode, frequency, leakage, topn, truncation
-from plumbline.runtime import read
+from plumbline.llm import canonical, consensus, encode, frequency, leakage, topn, truncation
+from plumbline.runtime import materialize, read
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -145,3 +145,65 @@ def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = canonical.map_values(typed_values(spark, sf_dir), "entered", read(spark, sf_dir, "vocab"), "vocab_id", "name", "aliases", "country")
     return found.select("entered", F.col("entry_id").alias("vocab_id"))
+
+
+# ---- 1: what the readers of a photo agree on
+
+MISSING = ["", "none", "n/a", "nan", "unknown"]
+
+
+def _written(values: DataFrame, column: str, entries: DataFrame, aliases: str | None) -> DataFrame:
+    """``(written, value)``: each writing of a value with the reference's own writing, or its folded self if it is none."""
+    found = canonical.map_values(values, column, entries, "id", "name", aliases).where("entry_id >= 0")
+    return found.join(entries, F.col("entry_id") == F.col("id")).select(F.col("entered").alias("written"), F.col("name").alias("value"))
+
+
+def photo_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(field, image_id, reader, value)`` of label, country and kept, in the writing of the vocabulary."""
+    vocab = read(spark, sf_dir, "vocab")
+    dishes = vocab.select(F.col("vocab_id").alias("id"), "name", "aliases")
+    countries = vocab.where("country IS NOT NULL").groupBy(F.col("country").alias("name")).agg(F.min("vocab_id").alias("id"))
+    # A reader's row with the latest labelled_at counts, even if its value is missing; of several, one that has values.
+    last = F.max(F.struct("labelled_at", "received_at", "label", "country")).alias("last")
+    latest = materialize(
+        read(spark, sf_dir, "reader_labels").groupBy("image_id", "reader").agg(last).select("image_id", "reader", "last.label", "last.country"), "latest"
+    )
+    parts = []
+    for field, entries, aliases in (("label", dishes, "aliases"), ("country", countries, None)):
+        value = F.col(field)
+        rows = latest.select("image_id", "reader", value.alias("written")).where(~F.lower(F.trim(F.regexp_replace("written", r"[\s\p{Z}]+", " "))).isin(MISSING))
+        names = _written(rows, "written", entries, aliases)
+        folded = F.trim(F.regexp_replace(F.lower("written"), r"[^\p{L}\p{M}\p{N}]+", " "))
+        parts.append(rows.join(names, "written", "left").select(F.lit(field).alias("field"), "image_id", "reader", F.coalesce("value", folded).alias("value")))
+    kept = read(spark, sf_dir, "verify").where("kept IS NOT NULL").select(F.lit("kept").alias("field"), "image_id", "reader", F.col("kept").cast("string").alias("value"))
+    return parts[0].unionByName(parts[1]).unionByName(kept)
+
+
+def _fit(spark: SparkSession, sf_dir: str) -> consensus.Consensus:
+    return consensus.fit_consensus(photo_readings(spark, sf_dir), "field", "image_id", "reader", "value")
+
+
+@_query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = _fit(spark, sf_dir).consensus().where("annotators >= 3 AND distinct_values > 1")
+    return cases.select(F.col("item").alias("image_id"), "field", F.col("value").alias("consensus"))
+
+
+@_query("p1_consensus")
+def p1_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every photo and field with its consensus and its agreement."""
+    return _fit(spark, sf_dir).consensus()
+
+
+@_query("p1_readers")
+def p1_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reader's reliability by field, with posterior intervals."""
+    return _fit(spark, sf_dir).reliability()
+
+
+@_query("p1_alpha")
+def p1_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Krippendorff's alpha of each field."""
+    return consensus.krippendorff_alpha(
+        consensus.clean_readings(photo_readings(spark, sf_dir), "field", "image_id", "reader", "value")
+    )
