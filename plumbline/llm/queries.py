@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import canonical, consensus, encode, frequency, leakage, topn, truncation
+from plumbline.llm import canonical, consensus, encode, frequency, leakage, topn, truncation, varied
 from plumbline.runtime import materialize, read
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -207,3 +207,19 @@ def p1_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.krippendorff_alpha(
         consensus.clean_readings(photo_readings(spark, sf_dir), "field", "image_id", "reader", "value")
     )
+
+
+# ---- 2: a varied subset of the images
+
+SUBSET = 500
+
+
+@_query("p2_varied_subset")
+def p2_varied_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """500 images that cover pools, dishes (elsewhere prompts) and looks."""
+    images = read(spark, sf_dir, "manifest").select("image_id", "pool_seed", F.coalesce("dish", "prompt_id").alias("subject"), "country").dropDuplicates(["image_id"])
+    looks = read(spark, sf_dir, "embed").where("embedding IS NOT NULL").dropDuplicates(["image_id"])
+    rows = images.join(looks, "image_id", "left")
+    weights = {"pool_seed": 0.8, "subject": 0.6, "country": 0.3}
+    chosen = varied.varied_subset(rows, "image_id", SUBSET, "embedding", weights, vector_dims=16)
+    return chosen.withColumn("pool_seed", F.element_at(F.split("image_id", "#"), -2).cast("long"))
