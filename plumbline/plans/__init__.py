@@ -1 +1,3 @@
 """Query plans over the driver's tables; importing this registers them."""
+
+from plumbline.plans import selecting  # noqa: F401
