@@ -9,6 +9,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 MANIFEST = (
     "image_id string, generator_id string, kind string, prompt_id string, country string, template string, pool_seed bigint, idx int, "
@@ -91,7 +92,7 @@ def unpivot_photos(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.unpivot(ids, columns, "slot", "image").where("image IS NOT NULL")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def parse_aliases(s: pd.Series) -> pd.Series:
     """The strings of a Python literal: a list of strings, or of dictionaries with one under ``name`` or ``value``."""
 
