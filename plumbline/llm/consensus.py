@@ -114,6 +114,32 @@ def krippendorff_alpha(readings: DataFrame) -> DataFrame:
     )
 
 
+def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join by shuffling: the sizes of these tables follow the data, so none of them is broadcast."""
+    return left.join(right.hint("shuffle_hash"), on, how)
+
+
+def _expected_logs(counts: DataFrame, right: DataFrame, spread: DataFrame) -> DataFrame:
+    """``(f, a, k, v, l)``: the expected log of what annotator a writes, v, for class k, for each cell that any reading needs."""
+    skill = right.select("f", "a", ((F.col("right") + RIGHT_PRIOR) / (F.col("n") + RIGHT_PRIOR + WRONG_PRIOR)).alias("skill"))
+    same = F.when(F.col("k") == F.col("v"), F.col("c")).otherwise(0.0)
+    rows = counts.groupBy("f", "a", "k").agg(F.sum("c").alias("row"), F.sum(same).alias("hit"))
+    wrong = counts.where("k <> v").groupBy("f", "a", "v").agg(F.sum("c").alias("w"))
+    wrong_all = wrong.groupBy("f", "a").agg(F.sum("w").alias("w_all"))
+    none = F.lit(0.0)
+    missed = F.greatest(F.col("row") - F.col("hit"), none)
+    usual = (F.coalesce("w", none) + ANNOTATOR_WEIGHT * F.col("often")) / (F.coalesce("w_all", none) + ANNOTATOR_WEIGHT)
+    cell = (F.col("c") + CELL_WEIGHT * usual) / (missed + CELL_WEIGHT)
+    # One digamma for both cases keeps the generated code small.
+    part = F.when(F.col("k") == F.col("v"), ROW_WEIGHT * F.col("skill") + F.col("hit")).otherwise(ROW_WEIGHT * (1 - F.col("skill")) + missed)
+    joined = _join(counts, rows, ["f", "a", "k"])
+    joined = _join(joined, wrong, ["f", "a", "v"], "left")
+    joined = _join(joined, skill.join(wrong_all, ["f", "a"], "left"), ["f", "a"])
+    joined = _join(joined, spread, ["f", "v"])
+    cells = joined.select("f", "a", "k", "v", "row", part.alias("part"), F.when(F.col("k") == F.col("v"), 0.0).otherwise(F.ln(cell)).alias("share"))
+    return cells.select("f", "a", "k", "v", (digamma(F.col("part")) + F.col("share") - digamma(ROW_WEIGHT + F.col("row"))).alias("l"))
+
+
 def fit_consensus(df: DataFrame, field: str, item: str, annotator: str, value: str, iterations: int = ITERATIONS) -> Consensus:
     """Mean-field variational inference of the confusion model, for all fields at once.
 
@@ -137,68 +163,41 @@ def fit_consensus(df: DataFrame, field: str, item: str, annotator: str, value: s
     with probability 1; an empty table gives empty results; other columns are ignored.
     """
     readings = materialize(clean_readings(df, field, item, annotator, value), "readings")
-    over = readings.groupBy("f", "i").agg(F.count("*").alias("n"), F.countDistinct("v").alias("k"))
-    disputed = over.where("k > 1").select("f", "i")
-    agreed = over.where("k = 1 AND n > 1").select("f", "i")
+    over = readings.groupBy("f", "i").agg(F.count("*").alias("n"), (F.min("v") != F.max("v")).alias("differ"))
+    disputed = over.where("differ").select("f", "i")
+    agreed = over.where("NOT differ AND n > 1").select("f", "i")
 
-    fixed = readings.join(agreed, ["f", "i"]).select("f", "a", F.col("v").alias("k"), "v", "i")
-    fixed_rows = fixed.groupBy("f", "a", "k", "v").agg(F.count("*").cast("double").alias("c"))
-    fixed_classes = fixed.groupBy("f", "k").agg(F.countDistinct("i").cast("double").alias("c"))
+    fixed = _join(readings, agreed, ["f", "i"]).select("f", "a", F.col("v").alias("k"), "v", "i")
+    fixed_rows = materialize(fixed.groupBy("f", "a", "k", "v").agg(F.count("*").cast("double").alias("c")), "fixed")
+    fixed_classes = materialize(fixed.groupBy("f", "k").agg(F.countDistinct("i").cast("double").alias("c")), "classes")
 
-    mine = readings.join(disputed, ["f", "i"])
+    mine = _join(readings, disputed, ["f", "i"])
     candidates = mine.groupBy("f", "i", F.col("v").alias("k")).agg(F.count("*").alias("votes"))
-    pairs = materialize(mine.join(candidates.select("f", "i", "k"), ["f", "i"]), "pairs")
+    pairs = materialize(_join(mine, candidates.select("f", "i", "k"), ["f", "i"]), "pairs")
     share = F.sum("votes").over(Window.partitionBy("f", "i"))
     posterior = materialize(candidates.select("f", "i", "k", (F.col("votes") / share).alias("p")), "posterior")
 
     # How often each value occurs in its field, and how many values the field has.
     values = readings.groupBy("f", "v").agg(F.count("*").alias("c"))
     sizes = values.groupBy("f").agg(F.sum("c").alias("all"), F.count("*").alias("classes"))
-    spread = values.join(sizes, "f").select(
-        "f", "v", (0.5 * F.col("c") / F.col("all") + 0.5 / F.col("classes")).alias("often"), "classes"
-    )
-    n_all = readings.join(over.where("n > 1").select("f", "i"), ["f", "i"]).groupBy("f", "a").agg(F.count("*").cast("double").alias("n"))
+    often = 0.5 * F.col("c") / F.col("all") + 0.5 / F.col("classes")
+    spread = materialize(values.join(sizes, "f").select("f", "v", often.alias("often")), "spread")
+    n_all = _join(readings, over.where("n > 1").select("f", "i"), ["f", "i"]).groupBy("f", "a").agg(F.count("*").cast("double").alias("n"))
+    n_all = materialize(n_all, "n")
     right = None
     for step in range(iterations):
-        weighted = pairs.join(posterior, ["f", "i", "k"])
-        counts = (
-            weighted.groupBy("f", "a", "k", "v").agg(F.sum("p").alias("c")).unionByName(fixed_rows).groupBy("f", "a", "k", "v").agg(F.sum("c").alias("c"))
-        )
-        counts = materialize(counts, "counts")
+        weighted = _join(pairs, posterior, ["f", "i", "k"]).groupBy("f", "a", "k", "v").agg(F.sum("p").alias("c"))
+        counts = materialize(weighted.unionByName(fixed_rows).groupBy("f", "a", "k", "v").agg(F.sum("c").alias("c")), "counts")
         right = n_all.join(counts.where("k = v").groupBy("f", "a").agg(F.sum("c").alias("right")), ["f", "a"], "left").select(
             "f", "a", "n", F.least(F.coalesce("right", F.lit(0.0)), F.col("n")).alias("right")
         )
         if step == iterations - 1:
             right = materialize(right, "right")
-        skill = right.select("f", "a", ((F.col("right") + RIGHT_PRIOR) / (F.col("n") + RIGHT_PRIOR + WRONG_PRIOR)).alias("skill"))
-        same = F.when(F.col("k") == F.col("v"), F.col("c")).otherwise(0.0)
-        rows = counts.groupBy("f", "a", "k").agg(F.sum("c").alias("row"), F.sum(same).alias("hit"))
-        wrong = counts.where("k <> v").groupBy("f", "a", "v").agg(F.sum("c").alias("w"))
-        wrong_all = wrong.groupBy("f", "a").agg(F.sum("w").alias("w_all"))
         classes = (
             posterior.groupBy("f", "k").agg(F.sum("p").alias("c")).unionByName(fixed_classes).groupBy("f", "k").agg(F.sum("c").alias("class"))
         )
-        none = F.lit(0.0)
-        row, hit = F.coalesce("row", none), F.coalesce("hit", none)
-        missed = F.greatest(row - hit, none)
-        usual = (F.coalesce("w", none) + ANNOTATOR_WEIGHT * F.col("often")) / (F.coalesce("w_all", none) + ANNOTATOR_WEIGHT)
-        cell = (F.coalesce("c", none) + CELL_WEIGHT * usual) / (missed + CELL_WEIGHT)
-        log = (
-            F.when(F.col("k") == F.col("v"), digamma(ROW_WEIGHT * F.col("skill") + hit))
-            .otherwise(digamma(ROW_WEIGHT * (1 - F.col("skill")) + missed) + F.ln(cell))
-            - digamma(ROW_WEIGHT + row)
-        )
-        logs = (
-            pairs.join(counts, ["f", "a", "k", "v"], "left")
-            .join(rows, ["f", "a", "k"], "left")
-            .join(wrong, ["f", "a", "v"], "left")
-            .join(wrong_all, ["f", "a"], "left")
-            .join(skill, ["f", "a"])
-            .join(spread, ["f", "v"])
-            .select("f", "i", "k", log.alias("l"))
-        )
-        scores = logs.groupBy("f", "i", "k").agg(F.sum("l").alias("l")).join(classes, ["f", "k"], "left")
-        scores = scores.select("f", "i", "k", (F.col("l") + digamma(F.coalesce("class", F.lit(0.0)) + CLASS_PRIOR)).alias("l"))
+        scores = _join(pairs, _expected_logs(counts, right, spread), ["f", "a", "k", "v"]).groupBy("f", "i", "k").agg(F.sum("l").alias("l"))
+        scores = _join(scores, classes, ["f", "k"]).select("f", "i", "k", (F.col("l") + digamma(F.col("class") + CLASS_PRIOR)).alias("l"))
         by_item = Window.partitionBy("f", "i")
         scores = scores.withColumn("e", F.exp(F.col("l") - F.max("l").over(by_item)))
         posterior = materialize(scores.select("f", "i", "k", (F.col("e") / F.sum("e").over(by_item)).alias("p")), "posterior")
