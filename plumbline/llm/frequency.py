@@ -10,6 +10,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.runtime import materialize
+
 #: Distinct keys held by one task before it hands its partial sums on.
 FLUSH_KEYS = 200_000
 
@@ -82,6 +84,7 @@ def term_frequencies(
         count, "field string, term string, occurrences long, records long"
     )
     sums = parts.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    sums = materialize(sums, "terms")  # read twice below; the values are split only once
     # One row a field: the null term carries the number of the field's records.
     totals = sums.where("term IS NULL").select(F.col("field").alias("f"), F.col("records").alias("field_records"))
     records = F.col("records")
