@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.runtime import materialize
+
 #: Children of a tree node, leaf entries of a tree (more for a larger subset), and partition summaries merged by one task.
 BRANCHING, MIN_LEAVES, LEAVES_PER_CHOICE, FAN_IN = 32, 512, 4, 8
 #: Dimensions that stand for one categorical column.
@@ -251,9 +253,8 @@ def varied_subset(
         return entries(tree, int(key[0]))
 
     schema = "bucket long, n double, s array<double>, q double, threshold double"
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(parts, "item")
-    summary, left = rows.mapInPandas(summarize, schema), parts
+    rows = materialize(rows, "varied")  # read twice: for the trees, and for the records nearest the centres
+    summary, left = rows.mapInPandas(summarize, schema), rows.rdd.getNumPartitions()
     while left > 1:
         summary = summary.groupBy(F.floor(F.col("bucket") / FAN_IN).alias("to")).applyInPandas(merge, schema)
         left = -(-left // FAN_IN)
