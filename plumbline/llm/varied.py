@@ -233,7 +233,7 @@ def varied_subset(
         return out
 
     def entries(tree: ClusterFeatureTree, bucket: int) -> pd.DataFrame:
-        n, s, q = tree.leaves() if tree.entries else (np.zeros(0), np.zeros((0, dims)), np.zeros(0))
+        n, s, q = tree.leaves()
         return pd.DataFrame({"bucket": np.full(len(n), bucket), "n": n, "s": list(s), "q": q, "threshold": np.full(len(n), tree.threshold)})
 
     def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,7 +244,8 @@ def varied_subset(
             x, counts = np.unique(features(pdf).round(6), axis=0, return_counts=True)
             for row, n in zip(x, counts.astype(float)):
                 tree.insert(n, row * n, float(row @ row) * n)
-        yield entries(tree, TaskContext.get().partitionId())
+        if tree.entries:
+            yield entries(tree, TaskContext.get().partitionId())
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = ClusterFeatureTree(dims, most, float(pdf["threshold"].min()))
