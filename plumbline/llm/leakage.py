@@ -19,10 +19,13 @@ BLOCK_ITEMS = 20_000
 #: Words of a seed.
 SEED_WORDS = 3
 #: A seed is rare if at most this share of the texts hold it, or if it is among this part of its item's seeds, the
-#: rarest: of an item that leaked into very many texts no seed is rare in the corpus.
+#: rarest. It is no stock wording of its item if at most as many texts hold it outside of runs of the item: so it does not
+#: matter into how many texts the item or a part of it leaked.
 RARE_SHARE, RARER_PART = 0.002, 0.12
+#: A run is where the item's seeds cover so many of its words within so many words of the text.
+OWN_RUN, RUN_REACH = 14, 64
 #: A text is aligned with an item if its longest chain of seeds in order covers so many of the item's words, ...
-#: (rare seeds at least, words of the chain at least)
+#: (seeds at least that are no stock wording, words of the chain at least)
 CHAINS = ((3, 10), (1, 16), (0, 26))
 #: ... where two seeds of a chain are at most so many words of the text apart.
 CHAIN_REACH = 80
@@ -191,8 +194,9 @@ class Block:
         return pos, at[pos]
 
 
-def align(item: np.ndarray, text: np.ndarray, lexicon: Lexicon) -> tuple[float, int, int]:
-    """Smith-Waterman alignment of two word sequences: score, words of the item it spans, words matched.
+def align(item: np.ndarray, text: np.ndarray, lexicon: Lexicon, least: float = 0.0) -> tuple[float, int, int]:
+    """Smith-Waterman alignment of two word sequences: score, words of the item it spans, words matched; of a score
+    below ``least`` only the score.
 
     A gap in the text (adverts, lines of another column) costs a start and little a word; a word of the item that
     is missing or another word costs as much as a match brings, so a run needs mostly matches.
@@ -225,6 +229,8 @@ def align(item: np.ndarray, text: np.ndarray, lexicon: Lexicon) -> tuple[float,
         table[i + 1] = row
     i, j = map(int, np.unravel_index(table.argmax(), table.shape))
     best, first, last, matched = float(table[i, j]), 0, 0, 0
+    if best < least:
+        return best, 0, 0
     while i > 0 and j > 0 and table[i, j] > 1e-9:
         now = table[i, j]
         if abs(now - table[i - 1, j - 1] - scores[i - 1, j - 1]) < 1e-9:
@@ -270,28 +276,59 @@ def _lexicon(block: Block) -> Lexicon:
     return _LEXICONS[key]
 
 
-def _pairs(block: Block, doc: np.ndarray, pos: np.ndarray, seed: np.ndarray, rare_for: np.ndarray, limit: np.ndarray):
-    """The (text, item) pairs with enough seeds, as (text, item, rare seeds, sorted places)."""
+def _places(block: Block, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every place of the seeds found: which of ``seed`` it is of, and the index of the place."""
     counts = np.diff(block.place_start)[seed]
     at = np.repeat(block.place_start[seed], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    item, q = block.place_item[at], block.place_pos[at]
-    d, p, s = np.repeat(doc, counts), np.repeat(pos, counts), np.repeat(seed, counts)
-    n_items, longest = len(block.items), max(map(len, block.items)) + 1
-    pair = d * n_items + item
-    # Words of the item that its seeds in the text cover, in any order: a bound of what a chain can cover.
-    uniq = np.unique(pair * longest + q)
+    return np.repeat(np.arange(len(seed)), counts), at
+
+
+def _covers(group: np.ndarray, q: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The groups, sorted, and the words of the item that the seeds at ``q`` cover in each, in any order."""
+    uniq = np.unique(group * longest + q)
     owner = uniq // longest
     step = np.full(len(uniq), SEED_WORDS)
     step[:-1] = np.where(owner[1:] == owner[:-1], np.minimum(uniq[1:] - uniq[:-1], SEED_WORDS), SEED_WORDS)
-    pairs, first = np.unique(owner, return_index=True)
-    cover = np.add.reduceat(step, first) if len(first) else step
-    is_rare = rare_for[s] <= limit[item]
-    rare_pair = np.unique(pair[is_rare] * len(block.seeds) + s[is_rare]) // len(block.seeds)
-    rare = np.searchsorted(rare_pair, pairs, "right") - np.searchsorted(rare_pair, pairs, "left")
+    groups, first = np.unique(owner, return_index=True)
+    return groups, np.add.reduceat(step, first) if len(first) else step
+
+
+def _outside(block: Block, doc: np.ndarray, pos: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """In how many of the texts each place of a seed is found outside of runs of its item."""
+    hit, at = _places(block, seed)
+    n_places, longest = len(block.place_item), max(map(len, block.items)) + 1
+    d, p, item, q = doc[hit], pos[hit], block.place_item[at], block.place_pos[at]
+    most = np.zeros(len(hit), np.int64)
+    for shift in (0, RUN_REACH // 2):
+        part = (p + shift) // RUN_REACH
+        n_parts = int(part.max()) + 1 if len(part) else 1
+        _, group = np.unique((d * len(block.items) + item) * n_parts + part, return_inverse=True)
+        most = np.maximum(most, _covers(group, q, longest)[1][group])
+    size = np.array([len(x) for x in block.items])[item]
+    found = (d * n_places + at)[most < np.minimum(OWN_RUN, size)]
+    return np.bincount(np.unique(found) % n_places, minlength=n_places)
+
+
+def _pairs(block: Block, doc: np.ndarray, pos: np.ndarray, seed: np.ndarray, own: np.ndarray, rare: np.ndarray):
+    """The (text, item) pairs with enough seeds, as (text, item, seeds that are no stock wording, rare seeds, sorted
+    places); ``own`` and ``rare`` say it of each place."""
+    hit, at = _places(block, seed)
+    item, q = block.place_item[at], block.place_pos[at]
+    d, p, s = doc[hit], pos[hit], seed[hit]
+    n_items, longest = len(block.items), max(map(len, block.items)) + 1
+    pair = d * n_items + item
+    # A bound of what a chain can cover.
+    pairs, cover = _covers(pair, q, longest)
+
+    def seeds_of(is_rare: np.ndarray) -> np.ndarray:
+        rare_pair = np.unique(pair[is_rare] * len(block.seeds) + s[is_rare]) // len(block.seeds)
+        return np.searchsorted(rare_pair, pairs, "right") - np.searchsorted(rare_pair, pairs, "left")
+
+    n_own, n_rare = seeds_of(own[at]), seeds_of(rare[at])
     size = np.array([len(x) for x in block.items])[pairs % n_items]
     keep = np.zeros(len(pairs), bool)
-    for least_rare, least_cover in CHAINS:
-        keep |= (rare >= least_rare) & (cover >= np.minimum(least_cover, size))
+    for least_own, least_cover in CHAINS:
+        keep |= (n_own >= least_own) & (cover >= np.minimum(least_cover, size))
     chosen = pairs[keep]
     mine = np.isin(pair, chosen)
     pair, p, q = pair[mine], p[mine], q[mine]
@@ -300,7 +337,8 @@ def _pairs(block: Block, doc: np.ndarray, pos: np.ndarray, seed: np.ndarray, rar
     bounds = np.searchsorted(pair, np.append(chosen, chosen[-1] + 1)) if len(chosen) else []
     for k, c in enumerate(chosen):
         lo, hi = bounds[k], np.searchsorted(pair, c, "right")
-        yield int(c // n_items), int(c % n_items), int(rare[keep][k]), list(zip(p[lo:hi].tolist(), q[lo:hi].tolist()))
+        places = list(zip(p[lo:hi].tolist(), q[lo:hi].tolist()))
+        yield int(c // n_items), int(c % n_items), int(n_own[keep][k]), int(n_rare[keep][k]), places
 
 
 def _batch_ids(texts: list[str | None], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
@@ -319,10 +357,10 @@ def _batch_ids(texts: list[str | None], lexicon: Lexicon) -> tuple[np.ndarray, n
 def find_leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """``(doc_id, item_id, score, span, matched)``: the texts that hold an item's passage or a long run of it.
 
-    Method: word trigrams of the items are seeds. A first pass counts in how many texts each seed occurs: tasks send
-    at most one sum a seed. The rare seeds of a text then name the items to compare it with, and Smith-Waterman
-    alignment over words (``align``) decides, which bears line ends, broken and misread words, words dropped or slipped
-    in, and other columns in between. The items are broadcast in blocks of ``BLOCK_ITEMS``; the corpus is never
+    Method: word trigrams of the items are seeds. A first pass counts in how many texts each seed occurs, and occurs
+    outside of runs of its item: tasks send at most one row a seed and place in an item. The seeds of a text that are no stock
+    wording then name the items to compare it with, and Smith-Waterman alignment over words (``align``) decides, which bears line
+    ends, broken and misread words, words dropped or slipped in, and other columns in between. The items are broadcast in blocks of ``BLOCK_ITEMS``; the corpus is never
     shuffled, so no text, item or seed can become a hot key, and every text is compared whole.
 
     Defined cases: null, empty and blank texts hold nothing; null or empty items, and items of fewer words than a seed,
@@ -357,47 +395,51 @@ def _search(docs: DataFrame, block: Block, n_docs: int, schema) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = shared.value
-        lexicon, sums = _lexicon(block), np.zeros(len(block.seeds), np.int64)
+        lexicon, sums = _lexicon(block), np.zeros((2, len(block.place_item)), np.int64)
         for pdf in batches:
             ids, starts = _batch_ids(pdf["text"].tolist(), lexicon)
             pos, seed = block.hits(ids)
             doc = np.searchsorted(starts, pos, "right") - 1
-            sums += np.bincount(np.unique(doc * len(block.seeds) + seed) % len(block.seeds), minlength=len(block.seeds))
+            n = np.bincount(np.unique(doc * len(block.seeds) + seed) % len(block.seeds), minlength=len(block.seeds))
+            sums += [np.repeat(n, np.diff(block.place_start)), _outside(block, doc, pos, seed)]
             lexicon.tidy()
-        at = np.flatnonzero(sums)
-        yield pd.DataFrame({"seed": at, "texts": sums[at]})
-
-    sums = docs.select("text").mapInPandas(count, "seed long, texts long").groupBy("seed").agg(F.sum("texts").alias("texts"))
-    # One number a seed of the block, however large the corpus.
-    texts_of = np.zeros(len(block.seeds), np.int64)
-    for r in sums.collect():
-        texts_of[r["seed"]] = r["texts"]
+        at = np.flatnonzero(sums[0])
+        yield pd.DataFrame({"place": at, "texts": sums[0][at], "outside": sums[1][at]})
+
+    sums = docs.select("text").mapInPandas(count, "place long, texts long, outside long").groupBy("place")
+    # Two numbers a place of a seed in the block, however large the corpus.
+    texts_of = np.zeros((2, len(block.place_item)), np.int64)
+    for r in sums.agg(F.sum("texts"), F.sum("outside")).collect():
+        texts_of[:, r[0]] = r[1:]
     by_item: list[list[int]] = [[] for _ in block.items]
-    for n, k in zip(np.repeat(texts_of, np.diff(block.place_start)).tolist(), block.place_item.tolist()):
+    for n, k in zip(texts_of[0].tolist(), block.place_item.tolist()):
         by_item[k].append(n)
     limit = np.array([max(RARE_SHARE * n_docs, float(np.quantile(x, RARER_PART)) if x else 0.0) for x in by_item])
-    rarity = docs.sparkSession.sparkContext.broadcast((texts_of, limit))
+    rarity = docs.sparkSession.sparkContext.broadcast(tuple(texts_of <= limit[block.place_item]))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, (texts_of, limit) = shared.value, rarity.value
+        block, (rare, own) = shared.value, rarity.value
         lexicon = _lexicon(block)
         for pdf in batches:
             ids, starts = _batch_ids(pdf["text"].tolist(), lexicon)
             pos, seed = block.hits(ids)
             doc = np.searchsorted(starts, pos, "right") - 1
             rows = []
-            for d, k, n_rare, places in _pairs(block, doc, pos, seed, texts_of, limit):
+            for d, k, n_own, n_rare, places in _pairs(block, doc, pos, seed, own, rare):
                 item = block.items[k]
                 chain_words, (p0, q0), (p1, q1) = longest_chain(places)
-                if not any(n_rare >= r and chain_words >= min(c, len(item)) for r, c in CHAINS):
+                if not any(n_own >= r and chain_words >= min(c, len(item)) for r, c in CHAINS):
                     continue
                 begin = max(int(starts[d]), p0 - WINDOW_PER_WORD * q0 - WINDOW_MARGIN)
                 end = min(int(starts[d + 1]) - SEED_WORDS, p1 + WINDOW_PER_WORD * (len(item) - q1) + WINDOW_MARGIN)
-                score, span, matched = align(item, ids[begin:end], lexicon)
                 need = min(RUN_WORDS, len(item))
                 short = need / RUN_WORDS  # below 1 for a whole passage shorter than a run
                 enough = MIN_SCORE_RARE if n_rare >= MANY_RARE or short < 1 else MIN_SCORE
+                score, span, matched = align(item, ids[begin:end], lexicon, enough * short)
                 dense = n_rare >= MANY_RARE or score >= SURE_SCORE or matched >= DENSITY * span
+                # A pair without enough rare seeds must be a run that is whole but for the words at its ends.
+                if not any(n_rare >= r and chain_words >= min(c, len(item)) for r, c in CHAINS):
+                    dense = matched >= span - SLACK
                 if span >= need - SLACK and score >= enough * short and dense:
                     rows.append((pdf["doc_id"].iat[d], block.item_ids[k], score, span, matched))
             lexicon.tidy()

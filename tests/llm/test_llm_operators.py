@@ -133,6 +133,22 @@ def test_an_item_in_most_texts_is_still_found(spark):
     assert {r["doc_id"] for r in leakage.find_leaks(docs, "d", "t", items, "i", "t").collect()} == set(range(60))
 
 
+def test_a_part_of_an_item_in_many_texts_is_found_without_its_rarest_seeds(spark):
+    rng = random.Random(6)
+    item, other = passage(rng, 50), passage(rng, 50)
+    w, v = item.split(), other.split()
+    part = w[30:48]
+    part[3], part[9], part[14] = part[3][:-1] + "x", part[9][:-1] + "x", part[14][:-1] + "x"
+    texts = [passage(rng, 40) + " " + " ".join(w[8:]) for _ in range(30)]  # the first words are left out: the rarest seeds
+    texts += [passage(rng, 60) + " " + " ".join(part) + " " + passage(rng, 60) for _ in range(3)]
+    texts += [passage(rng, 60) + " " + " ".join(v[20:39]) + " " + passage(rng, 60) for _ in range(30)]  # always the same part
+    texts += [passage(rng, 150) for _ in range(40)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "d long, t string")
+    items = spark.createDataFrame([(1, item), (2, other)], "i long, t string")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(docs, "d", "t", items, "i", "t").collect()}
+    assert got == {(k, 1) for k in range(33)} | {(k, 2) for k in range(33, 63)}
+
+
 def test_alignment_equals_plain_dynamic_programming():
     rng = random.Random(2)
     lexicon = leakage.Lexicon(sorted(WORDS))
