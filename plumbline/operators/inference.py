@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.stats import f_upper, t_cdf, t_ppf
+from plumbline.functions.stats import f_upper, hypergeom_below, t_cdf, t_ppf
 from plumbline.operators.diversity import label_entropy, rarefaction
 from plumbline.operators.selection import random_k, top_k
 
@@ -34,11 +34,14 @@ def endpoint(items: DataFrame, k: int, m: int, draws: int, keep: str = "keep", s
     """The contrast on kept items only: select among all, then keep, then rarefy to ``m``.
 
     ``(pool_id, delta, lo, hi, n_kept, kept_selected, lacking, kept_shift, non_estimable, reason)``. The filter never comes before the selection.
-    Reasons, in order: the selection keeps fewer than m; more than ``MAX_LACKING`` of the null draws do; the bracket from those draws is wider than
-    the upper margin.
+    Reasons, in order: the selection keeps fewer than m; the chance that a null draw does is more than ``MAX_LACKING``; the bracket from that
+    chance is wider than the upper margin. ``lacking`` is this chance, exact, and not the share of the draws made.
     """
     kept = lambda d: d.where(F.col(keep))
-    n_kept = items.groupBy("pool_id").agg(F.count_if(keep).alias("n_kept"))
+    n_kept = items.groupBy("pool_id").agg(F.count("*").alias("n_all"), F.count_if(keep).alias("n_kept"))
+    chance = F.udf(lambda n, kept: float(hypergeom_below(n, kept, min(k, n), m)), "double")
+    exact = n_kept.select("n_all", "n_kept").distinct().withColumn("lacking", chance("n_all", "n_kept"))
+    n_kept = n_kept.join(exact, ["n_all", "n_kept"])
     chosen = top_k(items, k)
     n_sel = chosen.groupBy("pool_id").agg(F.count_if(keep).alias("kept_selected"))
     d_sel = rarefaction(kept(chosen), ["pool_id"], m).select("pool_id", F.col("rarefied").alias("d"))
@@ -46,9 +49,7 @@ def endpoint(items: DataFrame, k: int, m: int, draws: int, keep: str = "keep", s
     n_null = null.groupBy("pool_id", "draw").agg(F.count_if(keep).alias("kept_null"))
     d_null = rarefaction(kept(null), ["pool_id", "draw"], m).select("pool_id", "draw", F.col("rarefied").alias("dn"))
     per = n_null.join(d_null, ["pool_id", "draw"], "left").groupBy("pool_id")
-    per = per.agg(
-        F.avg((F.col("kept_null") < m).cast("double")).alias("lacking"), F.avg("kept_null").alias("mean_kept_null"), F.avg(F.ln("dn")).alias("log_null")
-    )
+    per = per.agg(F.avg("kept_null").alias("mean_kept_null"), F.avg(F.ln("dn")).alias("log_null"))
     j = n_kept.join(n_sel, "pool_id").join(d_sel, "pool_id", "left").join(per, "pool_id", "left")
     hi = F.ln("d") - (1 - F.col("lacking")) * F.col("log_null") - F.col("lacking") * F.lit(-math.log(m))
     lo = F.ln("d") - (1 - F.col("lacking")) * F.col("log_null")

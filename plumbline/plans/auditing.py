@@ -41,7 +41,7 @@ def i1(spark, sf):
 def i1_endpoint(spark, sf):
     """The same on kept items only, rarefied exactly, with the reason ladder."""
     kept = items(spark, sf).withColumn("keep", F.col("idx") % 4 != 0)
-    return rounded(I.endpoint(kept, 16, 8, 16))
+    return rounded(I.endpoint(kept, 16, 8, 200))
 
 
 @query(

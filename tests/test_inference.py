@@ -51,6 +51,13 @@ def test_endpoint_selects_before_it_filters(spark):
     assert r["kept_selected"] == 6 and r["non_estimable"] and r["reason"].startswith("selection keeps too few")
 
 
+def test_endpoint_takes_the_lacking_share_exactly(spark):
+    rows = [(p, i, f"l{i % 5}", float(-i), i % 4 != 0, 0, 0) for p in range(40) for i in range(64)]
+    df = spark.createDataFrame(rows, "pool_id long, idx long, label string, score double, keep boolean, country int, template int")
+    got = I.endpoint(df, 16, 8, 16).collect()
+    assert {r["lacking"] for r in got} == {T.hypergeom_below(64, 48, 16, 8)} and not any(r["non_estimable"] for r in got)
+
+
 def test_resamples_keep_cell_sizes(spark):
     df = spark.range(30).selectExpr("id % 3 AS cell", "id AS unit", "CAST(id AS double) AS v")
     n = B.resample(df, ["cell"], "unit", 4).groupBy("draw", "cell").count().collect()
