@@ -114,6 +114,13 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_by_source(read(spark, sf_dir, "documents"), "doc_id", "text", "source", "line_boxes")
 
 
+@_query("p8_reasons")
+def p8_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pages of each source are cut for what reason."""
+    found = truncation.find_truncated(read(spark, sf_dir, "documents"), "doc_id", "text", "source", "line_boxes")
+    return found.where("cut").groupBy("source", "reason").agg(F.count("*").alias("pages"))
+
+
 # ---- 7: held-out passages in the pages
 
 

@@ -186,6 +186,8 @@ def test_truncation_by_limit_and_by_end(spark):
         304: ("Body. \nContinued on page 4", None), 305: ("Body.\n— A READER", None), 306: ("", None), 307: ("  \n", None), 308: (None, None), 309: ("Whole.", 1),
     }
     rows += [(k, t, None, n) for k, (t, n) in odd.items()]
+    # How a pointer begins is learned, so other pages must end in one, too.
+    rows += [(310 + k, f"{page(rng, 400)}\nContinued on page {k}", "free", None) for k in range(4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
     df = df.withColumn("boxes", F.when(F.col("n").isNotNull(), F.array_repeat(F.lit(1), F.col("n")))).withColumn("cut", F.lit("clash"))
     got = {r["doc_id"] for r in truncation.find_truncated(df, "doc_id", "text", "source", "boxes").where("cut").collect()}
@@ -195,6 +197,22 @@ def test_truncation_by_limit_and_by_end(spark):
     assert truncation.find_truncated(df.limit(0), "doc_id", "text", "source").count() == 0
 
 
+def test_openings_are_learned_and_all_spikes_of_a_source_are_found(spark):
+    rng = random.Random(8)
+    rows = [(k, f"{page(rng, rng.randrange(300, 1500))}\nWanted: {passage(rng, 3)}", "free") for k in range(30)]
+    rows += [(50 + k, f"{page(rng, 900)} wanted {passage(rng, 9)}.", "free") for k in range(30)]  # not at the start of a line
+    rows += [(100 + k, page(rng, rng.randrange(500, 3000)), None) for k in range(60)]
+    cut = [(200 + k, page(rng, 2600)[:1500].rstrip(".")[:1499] + "e", None) for k in range(9)]  # a limit that was raised later
+    cut += [(300 + k, page(rng, 2600)[:2200].rstrip(".")[:2199] + "e", None) for k in range(9)]
+    df = spark.createDataFrame(rows + cut, "doc_id long, text string, source string")
+    found = truncation.find_truncated(df, "doc_id", "text", "source").where("cut")
+    assert {r["doc_id"]: r["reason"][:5] for r in found.collect()} == {r[0]: "limit" if len(r[1]) in (1500, 2200) else "unfin" for r in cut}
+    features = truncation.ending_features(df, "doc_id", "text", "source", None)
+    assert {tuple(r) for r in truncation.closing_openings(df, "text", features).collect()} >= {("wanted:", 0)}
+    spikes = truncation.length_spikes(features.withColumn("closing", F.lit(False)))
+    assert {(r["source"], r["measure"], r["length"]) for r in spikes.collect()} >= {(None, "chars", 1500), (None, "chars", 2200)}
+
+
 # ---- typed values
 
 
