@@ -154,6 +154,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("entered", F.col("entry_id").alias("vocab_id"))
 
 
+@_query("p3_candidates")
+def p3_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry within the distance of each typed value, with its edits."""
+    found = canonical.map_values(typed_values(spark, sf_dir), "entered", read(spark, sf_dir, "vocab"), "vocab_id", "name", "aliases", "country")
+    return found.select("entered", F.explode("candidates").alias("c")).select("entered", F.col("c.entry_id").alias("vocab_id"), "c.edits")
+
+
 # ---- 1: what the readers of a photo agree on
 
 MISSING = ["", "none", "n/a", "nan", "unknown"]

@@ -230,25 +230,31 @@ def test_trie_search_equals_brute_force():
     rng = random.Random(0)
     names = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(3, 9))) for _ in range(80)})
     trie = canonical.ReferenceTrie([(k, n, None) for k, n in enumerate(names)])
-    for _ in range(100):
-        key = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9)))
-        want: dict[int, set[int]] = {}
-        for k, n in enumerate(names):
-            if (e := osa(key, n)) <= 2:
-                want.setdefault(e, set()).add(k)
-        assert trie.search(key, 2) == want
+    keys = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9))) for _ in range(100)] + ["a" * 70, ""]
+    for most in range(3):
+        for key, batch in zip(keys, trie.search_all(keys, most)):
+            want = {(k, e) for k, n in enumerate(names) if (e := osa(key, n)) <= most}
+            for found in (batch, trie.search(key, most)):
+                assert {(i, e) for ends, e in found for i in ends.whole} == want
 
 
-def test_values_are_mapped_or_reported(spark):
+def test_values_are_mapped_or_reported(spark, monkeypatch):
     ref = [(1, "Marovia", "lerbrormash pie", ["そばきり"]), (2, "Marovia", "lerbrormash soup", None), (3, "Sevrana", "gråndhek stew", []), (4, "Sevrana", "tazon tazon rice", None), (5, None, None, None), (6, "Sevrana", "miro soup", None)]
     reference = spark.createDataFrame(ref, "vocab_id long, country string, name string, aliases array<string>")
     want = {
         "LERBRORMASH PIE": 1, "a bowl of lerbrormash_soup!!": 2, "soup lerbrormash": 2, "Marovian lerbromrash pie x2": 1, "grandhek": 3, "grÃ¥ndhek stew": 3,
         "gråndhek st.": 3, "そばきり": 1, "lerbrormash": -1, "tazon rice": 4, "lerbrormashpie": 1, "unknown": -1, "???": -1, "zzzzzz noodles": -1, "lerbrormash stew": -1, "x" * 5000: -1,
     }
+    # Phrases around names are learned, so they must stand around several names.
+    want |= {"a bowl of gråndhek stew": 3, "a bowl of miro soup": 6, "miro soup x2": 6, "gråndhek stew x2": 3, "lerbrormash soup x2": 2, "near miro soup": -1}
     df = spark.createDataFrame([(v,) for v in [*want, *want, None, " ", " "]], "entered string").withColumn("entry_id", F.lit("clash"))
     got = canonical.map_values(df, "entered", reference, "vocab_id", "name", "aliases", "country").collect()
     assert {r["entered"]: r["entry_id"] for r in got} == want and len(got) == len(want)
+    near = {r["entered"]: [tuple(c) for c in r["candidates"]] for r in got}
+    assert near["lerbrormash"] == [(0, 1), (0, 2)] and near["Marovian lerbromrash pie x2"] == [(1, 1)] and near["unknown"] == []
+    monkeypatch.setattr(canonical, "BLOCK_BYTES", 40)
+    parts = canonical.map_values(df, "entered", reference, "vocab_id", "name", "aliases", "country").collect()
+    assert {r["entered"]: r["entry_id"] for r in parts} == want
     assert {r["entry_id"] for r in canonical.map_values(df, "entered", reference.limit(0), "vocab_id", "name").collect()} == {-1}
     assert canonical.map_values(df.limit(0), "entered", reference, "vocab_id", "name").count() == 0
 
