@@ -98,17 +98,16 @@ def closing_openings(docs: DataFrame, text: str, features: DataFrame) -> DataFra
     pages = F.lit(features.count()) * OPENING_SHARE
     ending = ending.groupBy("opening", "at").agg(F.count("*").alias("last")).where(F.col("last") >= F.greatest(F.lit(OPENING_PAGES), pages))
 
-    joined = F.regexp_replace(F.col(text).cast("string"), _BROKEN, "$1\u0001")
-    pieces = docs.select(F.explode(F.split(F.rtrim(joined), _PIECES)).alias("p")).where(F.col("p").rlike(r"\S"))
-    words = pieces.select(F.split(F.trim(_plain(F.col("p"))), r"\s+").alias("ws"))
-    words = words.select("ws", F.posexplode("ws").alias("j", "w")).select("j", "w", F.concat_ws(" ", "w", F.get("ws", F.col("j") + 1)).alias("two"))
-    lines = words.where("j = 0").agg(F.count("*").alias("lines"))
+    counted = features.agg(F.count("*").alias("pages"), F.sum("lines").alias("lines"))
+    whole = _plain(F.regexp_replace(F.col(text).cast("string"), _BROKEN, "$1\u0001"))
+    pieces = docs.select(F.explode(F.split(whole, _PIECES)).alias("p"))
+    words = pieces.select(F.posexplode(F.split(F.trim("p"), r"\s+")).alias("j", "w"), F.split(F.trim("p"), r"\s+").alias("ws"))
+    words = words.select("j", "w", F.concat_ws(" ", "w", F.get("ws", F.col("j") + 1)).alias("two"))
     words = words.select("j", F.explode(F.when(F.col("w") == F.col("two"), F.array("w")).otherwise(F.array("w", "two"))).alias("met"))
-    most = int(3 / OPENING_SHARE)
-    every = words.join(bounded_broadcast(ending, most, 64), F.col("met") == F.col("opening"))
+    every = words.join(bounded_broadcast(ending, int(3 / OPENING_SHARE), 64), F.col("met") == F.col("opening"))
     every = every.groupBy("opening", "at", "last").agg(F.count("*").alias("any"), F.count_if(F.col("j") == F.col("at")).alias("alone"))
-    ends_pages = F.col("last") * F.col("lines") >= ENDS_PAGES * F.lit(features.count()) * F.col("alone")
-    return every.crossJoin(F.broadcast(lines)).where((F.col("alone") >= STANDS_ALONE * F.col("any")) & ends_pages).select("opening", "at")
+    ends_pages = F.col("last") * F.col("lines") >= ENDS_PAGES * F.col("pages") * F.col("alone")
+    return every.crossJoin(F.broadcast(counted)).where((F.col("alone") >= STANDS_ALONE * F.col("any")) & ends_pages).select("opening", "at")
 
 
 def _closes(ends: Column, openings: list[tuple[str, int]]) -> Column:
