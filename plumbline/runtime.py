@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if its serialized size is known to stay below this.
 BROADCAST_LIMIT_BYTES = 64 << 20
+#: Salts over which a join deals the rows of each key.
+SALTS = 32
 
 
 def session(app: str = "plumbline", cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -59,6 +61,17 @@ def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT_BYTES else df
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], right_rows: int, row_bytes: int, how: str = "inner") -> DataFrame:
+    """An equi-join (inner or left) to a ``right`` side of ``right_rows`` rows with different keys: broadcast if that is proven small;
+    else each key is repeated for ``SALTS`` salts and the left rows are dealt over them by hash, so a key with any share of the rows
+    is spread."""
+    if right_rows * row_bytes <= BROADCAST_LIMIT_BYTES:
+        return left.join(F.broadcast(right), on, how)
+    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [*on, "_salt"], how).drop("_salt")
+
+
 def rank_score(c: Column) -> Column:
     """The score with NaN mapped to NULL, so that ``DESC NULLS LAST`` puts both after every number."""
     return F.when(~F.isnan(c), c)
