@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import canonical, consensus, encode, frequency, leakage, topn, truncation, varied
-from plumbline.runtime import materialize, read
+from plumbline.runtime import materialize, read, salted_join
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -167,9 +167,10 @@ MISSING = ["", "none", "n/a", "nan", "unknown"]
 
 
 def _written(values: DataFrame, column: str, entries: DataFrame, aliases: str | None) -> DataFrame:
-    """``(written, value)``: each writing of a value with the reference's own writing, or its folded self if it is none."""
+    """``(written, value)``: each writing of a value with the reference's own writing; none if it is no entry's."""
     found = canonical.map_values(values, column, entries, "id", "name", aliases).where("entry_id >= 0")
-    return found.join(entries, F.col("entry_id") == F.col("id")).select(F.col("entered").alias("written"), F.col("name").alias("value"))
+    named = found.join(entries, F.col("entry_id") == F.col("id")).select(F.col("entered").alias("written"), F.col("name").alias("value"))
+    return materialize(named, "written")
 
 
 def photo_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +189,7 @@ def photo_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = latest.select("image_id", "reader", value.alias("written")).where(~F.lower(F.trim(F.regexp_replace("written", r"[\s\p{Z}]+", " "))).isin(MISSING))
         names = _written(rows, "written", entries, aliases)
         folded = F.trim(F.regexp_replace(F.lower("written"), r"[^\p{L}\p{M}\p{N}]+", " "))
-        parts.append(rows.join(names, "written", "left").select(F.lit(field).alias("field"), "image_id", "reader", F.coalesce("value", folded).alias("value")))
+        parts.append(salted_join(rows, names, ["written"], names.count(), 256, "left").select(F.lit(field).alias("field"), "image_id", "reader", F.coalesce("value", folded).alias("value")))
     kept = read(spark, sf_dir, "verify").where("kept IS NOT NULL").select(F.lit("kept").alias("field"), "image_id", "reader", F.col("kept").cast("string").alias("value"))
     return parts[0].unionByName(parts[1]).unionByName(kept)
 

@@ -283,6 +283,43 @@ def test_consensus_trusts_reliable_annotators_and_turns_liars_round(spark):
     assert rel["good1"]["low"] > rel["liar1"]["high"]
 
 
+def crowd(rng, items=300, seed_values="abc"):
+    """Readings by annotators whose skill follows the prior, and the truth."""
+    skill = {f"r{k}": rng.betavariate(consensus.RIGHT_PRIOR, consensus.WRONG_PRIOR) for k in range(8)}
+    truth = {f"i{k}": rng.choice(seed_values) for k in range(items)}
+    rows = []
+    for i, t in truth.items():
+        for a in rng.sample(sorted(skill), 5):
+            rows.append(("f", i, a, t if rng.random() < skill[a] else rng.choice([v for v in seed_values if v != t])))
+    return rows, truth, skill
+
+
+def test_the_bound_rises_and_joined_logarithms_give_the_same(spark, monkeypatch):
+    rows, truth, _ = crowd(random.Random(3), 120)
+    df = spark.createDataFrame([*rows, *rows[:40]], "f string, i string, a string, v string").withColumn("n", F.lit("clash"))
+    fit = consensus.fit_consensus(df, "f", "i", "a", "v", tolerance=1e-6)
+    assert len(fit.bounds) > 3 and all(b >= a - 1e-6 for a, b in zip(fit.bounds, fit.bounds[1:]))
+    got = {r["item"]: (r["value"], r["probability"]) for r in fit.consensus().collect()}
+    assert np.mean([got[i][0] == t for i, t in truth.items()]) > 0.85
+    monkeypatch.setattr(consensus, "MOST_PLACES", 0)
+    other = consensus.fit_consensus(df, "f", "i", "a", "v", tolerance=1e-6)
+    assert other.bounds == pytest.approx(fit.bounds, abs=1e-6)
+    assert {r["item"]: (r["value"], pytest.approx(r["probability"], abs=1e-6)) for r in other.consensus().collect()} == got
+
+
+def test_reliability_intervals_cover_the_skill(spark):
+    # Thirty crowds at once, each a field: nominal 95 %, and somewhat less, since mean-field inference understates its doubt.
+    rows, want = [], {}
+    for k in range(30):
+        mine, _, skill = crowd(random.Random(100 + k), 60)
+        rows += [(f"f{k}", *r[1:]) for r in mine]
+        want |= {(f"f{k}", a): s for a, s in skill.items()}
+    fit = consensus.fit_consensus(spark.createDataFrame(rows, "f string, i string, a string, v string"), "f", "i", "a", "v")
+    got = fit.reliability().collect()
+    assert len(got) == len(want)
+    assert np.mean([r["low"] <= want[(r["field"], r["annotator"])] <= r["high"] for r in got]) >= 0.85
+
+
 def test_krippendorff_against_the_definition(spark):
     units = [["a", "a", "b"], ["b", "b"], ["a", "c", "c", "c"], ["a"]]
     rows = [("f", f"u{u}", f"r{k}", v) for u, vs in enumerate(units) for k, v in enumerate(vs)]
@@ -296,7 +333,7 @@ def test_krippendorff_against_the_definition(spark):
 
 
 def test_consensus_of_nothing(spark):
-    fit = consensus.fit_consensus(spark.createDataFrame([], "f string, i string, a string, v string"), "f", "i", "a", "v", iterations=1)
+    fit = consensus.fit_consensus(spark.createDataFrame([], "f string, i string, a string, v string"), "f", "i", "a", "v")
     assert fit.consensus().count() == 0 and fit.reliability().count() == 0
 
 
