@@ -229,12 +229,44 @@ def p1_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUBSET = 500
 
 
+#: How far from the origin pools, subjects, countries and looks lie.
+P2_WEIGHTS, P2_LOOKS = {"pool_seed": 0.8, "subject": 0.6, "country": 0.3}, 0.5
+
+
+def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row an image: its pool, subject (the dish, elsewhere the prompt), country, and its look where there is one."""
+    m = read(spark, sf_dir, "manifest").select("image_id", "pool_seed", F.coalesce("dish", "prompt_id").alias("subject"), "country")
+    m = m.groupBy("image_id").agg(F.min(F.struct("pool_seed", "subject", "country")).alias("x")).select("image_id", "x.*")
+    looks = read(spark, sf_dir, "embed").where("embedding IS NOT NULL").groupBy("image_id").agg(F.min("embedding").alias("embedding"))
+    return m.join(looks, "image_id", "left")
+
+
 @_query("p2_varied_subset")
 def p2_varied_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """500 images that cover pools, dishes (elsewhere prompts) and looks."""
-    images = read(spark, sf_dir, "manifest").select("image_id", "pool_seed", F.coalesce("dish", "prompt_id").alias("subject"), "country").dropDuplicates(["image_id"])
-    looks = read(spark, sf_dir, "embed").where("embedding IS NOT NULL").dropDuplicates(["image_id"])
-    rows = images.join(looks, "image_id", "left")
-    weights = {"pool_seed": 0.8, "subject": 0.6, "country": 0.3}
-    chosen = varied.varied_subset(rows, "image_id", SUBSET, "embedding", weights, vector_dims=16)
+    chosen = varied.varied_subset(image_features(spark, sf_dir), "image_id", SUBSET, "embedding", P2_WEIGHTS, vector_dims=16, vector_weight=P2_LOOKS)
     return chosen.withColumn("pool_seed", F.element_at(F.split("image_id", "#"), -2).cast("long"))
+
+
+@_query(
+    "p2_coverage",
+    f"""
+    SELECT least({SUBSET}, count(DISTINCT image_id)) AS images, least({SUBSET}, count(DISTINCT image_id)) AS different,
+        true AS pools_as_random, true AS subjects_as_random FROM manifest WHERE image_id IS NOT NULL
+    """,
+)
+def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the subset has its size, each image once, and covers at least as many pools and subjects as images taken by md5."""
+    rows = materialize(image_features(spark, sf_dir).select("image_id", "pool_seed", "subject"), "images")
+    chosen = p2_varied_subset(spark, sf_dir).select("image_id")
+    random = rows.orderBy(F.md5("image_id"), "image_id").limit(SUBSET)
+
+    def covers(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.countDistinct("pool_seed").alias(f"{name}_pools"), F.countDistinct("subject").alias(f"{name}_subjects"))
+
+    size = chosen.agg(F.count("*").alias("images"), F.countDistinct("image_id").alias("different"))
+    both = size.crossJoin(covers(chosen.join(rows, "image_id"), "own")).crossJoin(covers(random, "random"))  # one row each
+    return both.select(
+        "images", "different", (F.col("own_pools") >= F.col("random_pools")).alias("pools_as_random"),
+        (F.col("own_subjects") >= F.col("random_subjects")).alias("subjects_as_random"),
+    )

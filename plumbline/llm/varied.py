@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from plumbline.runtime import materialize
 
-#: Children of a tree node, leaf entries of a tree (more for a larger subset), and partition summaries merged by one task.
+#: Children of a tree node, leaf entries of a tree (more for a larger subset), and summaries merged by one task.
 BRANCHING, MIN_LEAVES, LEAVES_PER_CHOICE, FAN_IN = 32, 512, 4, 8
+#: A subset may have at most so many records: the driver agglomerates up to ``LEAVES_PER_CHOICE`` times as many entries.
+MOST_CHOSEN = 5_000
+#: The rows are dealt by a hash of the item into buckets of about so many, each summarized by a tree; a tree takes so many at once.
+BUCKET_ROWS, CHUNK_ROWS = 50_000, 4_096
+#: Points that no entry absorbs are inserted so many at a time before the others try again.
+INSERT_POINTS = 64
 #: Dimensions that stand for one categorical column.
-HASH_DIMS = 8
-#: Nearest records kept for each centre, should one record be the nearest of several.
-SPARES = 4
+HASH_DIMS = 16
 
 
 def hash_features(codes: np.ndarray, weight: float) -> np.ndarray:
@@ -66,15 +70,47 @@ class _Node:
 class ClusterFeatureTree:
     """Absorbs weighted points or other trees' entries; never holds more than ``most`` leaf entries.
 
-    An entry is (records, sum of vectors, sum of squared lengths). A point joins the nearest entry if the entry's
-    radius stays within the threshold; once there are too many entries the threshold rises and the tree is rebuilt
+    An entry is (records, sum of vectors, sum of squared lengths). A point joins the nearest entry if the squared distance
+    from its centre stays within the threshold; once there are too many entries the threshold rises and the tree is rebuilt
     from them, so memory is bounded whatever the number of points.
     """
 
-    def __init__(self, dims: int, most: int, threshold: float = 1e-6):
+    def __init__(self, dims: int, most: int, threshold: float = 1e-9):
         self.dims, self.most, self.threshold = dims, most, threshold
         self.root, self.entries = _Node(dims, True), 0
 
+    def insert_all(self, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> None:
+        """Inserts many points: those that an entry absorbs go down the tree together, the others one by one in between."""
+        while len(n):
+            left = self._absorb(self.root, n, s, q, np.arange(len(n)))
+            for k in left[:INSERT_POINTS]:
+                self.insert(float(n[k]), s[k], float(q[k]))
+            left = left[INSERT_POINTS:]
+            n, s, q = n[left], s[left], q[left]
+
+    def _absorb(self, node: _Node, n: np.ndarray, s: np.ndarray, q: np.ndarray, who: np.ndarray) -> np.ndarray:
+        """Adds the points that leaf entries below absorb; the others, in their order."""
+        if node.size == 0 or not len(who):
+            return who
+        x = s[who] / n[who, None]
+        centres = node.sums[: node.size] / node.n[: node.size, None]
+        d = (x**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * x @ centres.T
+        k = d.argmin(1)
+        if node.children is None:
+            exact = ((x - centres[k]) ** 2).sum(1)
+            taken = exact <= self.threshold
+            mine, to = who[taken], k[taken]
+            left = who[~taken]
+        else:
+            parts = [self._absorb(node.children[c], n, s, q, who[k == c]) for c in np.unique(k)]
+            left = np.sort(np.concatenate(parts))
+            kept = ~np.isin(who, left)
+            mine, to = who[kept], k[kept]
+        np.add.at(node.n, to, n[mine])
+        np.add.at(node.sums, to, s[mine])
+        np.add.at(node.squares, to, q[mine])
+        return left
+
     def insert(self, n: float, s: np.ndarray, q: float) -> None:
         split = self._into(self.root, n, s, q)
         if split is not None:
@@ -92,9 +128,8 @@ class ClusterFeatureTree:
             return None
         k = node.nearest(s / n)
         if node.children is None:
-            total = node.n[k] + n
-            centre = (node.sums[k] + s) / total
-            if (node.squares[k] + q) / total - centre @ centre <= self.threshold:
+            apart = node.sums[k] / node.n[k] - s / n
+            if apart @ apart <= self.threshold:
                 node.grow(k, n, s, q)
                 return None
             node.add(n, s, q)
@@ -143,11 +178,10 @@ class ClusterFeatureTree:
         d = ((some[:, None] - centres[None]) ** 2).sum(-1)
         near = np.sort(np.where(d <= 1e-12, np.inf, d).min(1))
         near = near[np.isfinite(near)]
-        step = float(np.quantile(near, 0.3)) / 4 if len(near) else 0.0
+        step = float(np.quantile(near, 0.3)) if len(near) else 0.0
         self.threshold = max(self.threshold * 1.5, step)
         self.root, self.entries = _Node(self.dims, True), 0
-        for k in range(len(n)):
-            self.insert(n[k], s[k], q[k])
+        self.insert_all(n, s, q)
 
 
 def ward_groups(centres: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
@@ -197,21 +231,24 @@ def varied_subset(
     """``(item, group, group_entries)``: ``size`` different items that cover the variety of the rows, or all if fewer.
 
     Features of a row are its vector, and for each column of ``categories`` a fixed pseudo-random vector of its value,
-    scaled by the column's weight. Method: each partition builds a cluster-feature tree with a bounded number of leaf
-    entries; summaries are merged ``FAN_IN`` at a time by further trees until one is left. Its entries are
-    agglomerated by Ward linkage on the driver, weighted by the logarithm of their records, so neither a large group
-    nor a dense clump of nearly equal rows draws more than a little more of the choice; the tree of merges is cut
-    at ``size`` groups, and the record nearest each group's centre is returned.
-
-    What reaches the driver is bounded by ``size`` alone: at most max(512, 4 ``size``) entries, then ``SPARES`` nearest
-    records a group. The rows themselves are read twice and never shuffled; all of them take part.
+    scaled by the column's weight. Method: rows are dealt into buckets by a hash of the item; each bucket, in the order of
+    the hash, builds a cluster-feature tree with a bounded number of leaf entries; summaries are merged ``FAN_IN`` at a time
+    by further trees until one is left. Its entries are agglomerated by Ward linkage on the driver, weighted by the
+    logarithm of their records, so neither a large group nor a dense clump of nearly equal rows draws more than a
+    little more of the choice; the tree of merges is cut at ``size`` groups. Each row belongs to the group of the nearest centre, and the
+    row nearest its centre is returned. If a group has none, the row nearest its centre that is not yet chosen is taken; if the
+    rows have fewer different features than ``size``, the groups give their next nearest rows in turn.
+
+    The result depends on the rows alone, not on their order or partitions. What reaches the driver is bounded by ``size``
+    alone, which may be ``MOST_CHOSEN``: at most max(512, 4 ``size``) entries, then a row a group. The rows are shuffled once, by
+    item, and all of them take part.
 
     Defined cases: a null item is no row; an item given several times counts once (its least features); a null vector,
     or one of another length, is the origin, a null category too; NaN and infinite numbers count as 0; of records
-    at equal distances any may be returned; an empty table gives no rows; other columns are ignored.
+    at equal distances the least item is returned; an empty table gives no rows; other columns are ignored.
     """
-    if size < 1:
-        raise ValueError("size must be at least 1")
+    if not 1 <= size <= MOST_CHOSEN:
+        raise ValueError(f"size must be from 1 to {MOST_CHOSEN}")
     spark, names = df.sparkSession, list(categories)
     dims = vector_dims + HASH_DIMS * len(names)
     most = max(MIN_LEAVES, LEAVES_PER_CHOICE * size)
@@ -219,13 +256,19 @@ def varied_subset(
     code = [F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c))).otherwise(F.lit(0)).alias(f"c{k}") for k, c in enumerate(names)]
     rows = df.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), vec.alias("vec"), *code)
     rows = rows.groupBy("item").agg(F.min(F.struct("vec", *[f"c{k}" for k in range(len(names))])).alias("x")).select("item", "x.*")
+    rows = materialize(rows, "varied")  # read twice: for the trees, and for the records nearest the centres
+    n_rows = rows.count()
+    if n_rows <= size:
+        return rows.select(F.col("item").alias(item), F.lit(0).alias("group"), F.lit(1).alias("group_entries"))
+    buckets = -(-n_rows // BUCKET_ROWS)
 
     def features(pdf: pd.DataFrame) -> np.ndarray:
         out = np.zeros((len(pdf), dims))
         if vector_dims:
-            good = [k for k, v in enumerate(pdf["vec"]) if v is not None and len(v) == vector_dims]
-            if good:
-                x = np.array([np.asarray(pdf["vec"].iat[k], float) for k in good])
+            sizes = np.array([-1 if v is None else len(v) for v in pdf["vec"]])
+            good = np.flatnonzero(sizes == vector_dims)
+            if len(good):
+                x = np.concatenate([pdf["vec"].iat[k] for k in good]).astype(float).reshape(len(good), vector_dims)
                 out[good, :vector_dims] = vector_weight * np.nan_to_num(x, nan=0.0, posinf=0.0, neginf=0.0)
         for k, name in enumerate(names):
             at = vector_dims + k * HASH_DIMS
@@ -234,79 +277,101 @@ def varied_subset(
 
     def entries(tree: ClusterFeatureTree, bucket: int) -> pd.DataFrame:
         n, s, q = tree.leaves()
-        return pd.DataFrame({"bucket": np.full(len(n), bucket), "n": n, "s": list(s), "q": q, "threshold": np.full(len(n), tree.threshold)})
+        columns = {"bucket": bucket, "place": np.arange(len(n)), "n": n, "s": list(s), "q": q, "threshold": tree.threshold}
+        return pd.DataFrame(columns)
 
-    def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, bool, pd.DataFrame]]:
+        """(bucket, whether it ends, rows): parts of a size that does not depend on how the rows come."""
+        held: pd.DataFrame | None = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            while len(held):
+                mine = int((held["bucket"] == held["bucket"].iat[0]).to_numpy().argmin()) or len(held)
+                if mine == len(held) and mine <= CHUNK_ROWS:
+                    break
+                take = min(mine, CHUNK_ROWS)
+                yield int(held["bucket"].iat[0]), take == mine, held.iloc[:take]
+                held = held.iloc[take:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield int(held["bucket"].iat[0]), True, held
 
+    def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = ClusterFeatureTree(dims, most)
-        for pdf in batches:
+        for bucket, ends, pdf in chunks(batches):
             x, counts = np.unique(features(pdf).round(6), axis=0, return_counts=True)
-            for row, n in zip(x, counts.astype(float)):
-                tree.insert(n, row * n, float(row @ row) * n)
-        if tree.entries:
-            yield entries(tree, TaskContext.get().partitionId())
+            n = counts.astype(float)
+            tree.insert_all(n, x * n[:, None], (x * x).sum(1) * n)
+            if ends:
+                yield entries(tree, bucket)
+                tree = ClusterFeatureTree(dims, most)
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bucket", "place"])
         tree = ClusterFeatureTree(dims, most, float(pdf["threshold"].min()))
-        for n, s, q in zip(pdf["n"], pdf["s"], pdf["q"]):
-            tree.insert(n, np.asarray(s, float), q)
+        tree.insert_all(pdf["n"].to_numpy(), np.stack(pdf["s"]).astype(float), pdf["q"].to_numpy())
         return entries(tree, int(key[0]))
 
-    schema = "bucket long, n double, s array<double>, q double, threshold double"
-    rows = materialize(rows, "varied")  # read twice: for the trees, and for the records nearest the centres
-    summary, left = rows.mapInPandas(summarize, schema), rows.rdd.getNumPartitions()
+    schema = "bucket long, place long, n double, s array<double>, q double, threshold double"
+    hashed = rows.withColumn("h", F.xxhash64("item")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    summary = hashed.repartition("bucket").sortWithinPartitions("bucket", "h", "item").mapInPandas(summarize, schema)
+    left = buckets
     while left > 1:
         summary = summary.groupBy(F.floor(F.col("bucket") / FAN_IN).alias("to")).applyInPandas(merge, schema)
         left = -(-left // FAN_IN)
-    leaf = summary.collect()
-    if not leaf:
-        return rows.select(F.col("item").alias(item), F.lit(0).alias("group"), F.lit(0).alias("group_entries")).limit(0)
-    n = np.array([r["n"] for r in leaf])
-    centres = np.array([r["s"] for r in leaf]) / n[:, None]
+    leaf = summary.orderBy("bucket", "place").toPandas()
+    n = leaf["n"].to_numpy()
+    centres = np.stack(leaf["s"]).astype(float) / n[:, None]
     weights = np.log1p(n)
     group = ward_groups(centres, weights, size)
     k = int(group.max()) + 1
     mean = np.zeros((k, dims))
     np.add.at(mean, group, centres * weights[:, None])
     mean /= np.bincount(group, weights)[:, None]
-    sizes = np.bincount(group).tolist()
-    shared = spark.sparkContext.broadcast(mean)
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mean = shared.value
-        best: pd.DataFrame | None = None
-        squares = (mean**2).sum(1)
-        for pdf in batches:
-            x = features(pdf)
-            d = np.maximum((x**2).sum(1)[:, None] + squares[None] - 2 * x @ mean.T, 0).round(9)
-            take = min(SPARES, len(pdf))
-            at = np.argpartition(d, take - 1, axis=0)[:take]
-            part = pd.DataFrame(
-                {"group": np.tile(np.arange(len(mean)), take), "d": np.take_along_axis(d, at, 0).ravel(), "item": pdf["item"].to_numpy()[at.ravel()]}
-            )
-            best = part if best is None else pd.concat([best, part])
-            best = best.sort_values(["group", "d", "item"]).groupby("group").head(SPARES)
-        if best is not None:
-            yield best
-
-    near = rows.mapInPandas(nearest, "group long, d double, item string")
-    order = Window.partitionBy("group").orderBy("d", "item")
-    found: dict[int, list[tuple[float, str]]] = {}
-    for r in near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SPARES * 4).collect():
-        found.setdefault(r["group"], []).append((r["d"], r["item"]))
-    for spares in found.values():
-        spares.sort()
-    chosen: dict[str, int] = {}
-    for g in sorted(found, key=lambda g: found[g][0]):
-        free = next((i for _, i in found[g] if i not in chosen), None)
-        if free is not None:
-            chosen[free] = g
-    missing = size - len(chosen)
-    if missing > 0:  # fewer distinct centres than asked for: fill up with other items, spread by a hash
-        taken = spark.createDataFrame([(i,) for i in chosen] or [("",)], "item string")
-        rest = rows.select("item").join(taken, "item", "left_anti").orderBy(F.xxhash64("item"), "item").limit(missing)
-        for r in rest.collect():
-            chosen[r["item"]] = -1
-    out = [(i, g, sizes[g] if g >= 0 else 0) for i, g in sorted(chosen.items())]
+    sizes = np.bincount(group)
+
+    def nearest(to: np.ndarray, among: DataFrame, own: bool) -> DataFrame:
+        """``(g, d, item)``: for each of the centres ``to`` the nearest rows of each task; ``own`` rows belong to the nearest centre of all."""
+        shared = spark.sparkContext.broadcast((to, mean[to]))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            to, mine = shared.value
+            best: pd.DataFrame | None = None
+            for pdf in batches:
+                x = features(pdf)
+                d = np.maximum((x**2).sum(1)[:, None] + (mine**2).sum(1)[None] - 2 * x @ mine.T, 0).round(9)
+                at = d.argmin(1)
+                if own:
+                    part = pd.DataFrame({"g": to[at], "d": d[np.arange(len(d)), at], "item": pdf["item"]})
+                else:
+                    part = pd.DataFrame({"g": np.tile(to, len(d)), "d": d.ravel(), "item": np.repeat(pdf["item"].to_numpy(), len(to))})
+                best = part if best is None else pd.concat([best, part])
+                best = best.sort_values(["g", "d", "item"]).drop_duplicates("g")
+            if best is not None:
+                yield best
+
+        best = among.mapInPandas(run, "g long, d double, item string").groupBy("g").agg(F.min(F.struct("d", "item")).alias("best"))
+        return best.select("g", "best.*")
+
+    chosen: dict[str, int] = {r["item"]: r["g"] for r in nearest(np.arange(k), rows, True).collect()}
+    while len(chosen) < k:  # centres that are no row's nearest
+        empty = np.array(sorted(set(range(k)) - set(chosen.values())))
+        taken = F.broadcast(spark.createDataFrame([(i,) for i in chosen], "item string"))
+        for r in sorted(nearest(empty, rows.join(taken, "item", "left_anti"), False).collect(), key=lambda r: (r["d"], r["g"])):
+            chosen.setdefault(r["item"], r["g"])
+    if len(chosen) < size:  # fewer different features than asked for: of each group the next nearest rows, in turn
+        shared = spark.sparkContext.broadcast(mean)
+
+        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                x = features(pdf)
+                d = np.maximum((x**2).sum(1)[:, None] + (shared.value**2).sum(1)[None] - 2 * x @ shared.value.T, 0).round(9)
+                yield pd.DataFrame({"g": d.argmin(1), "d": d.min(1), "item": pdf["item"]})
+
+        taken = F.broadcast(spark.createDataFrame([(i,) for i in chosen], "item string"))
+        rest = rows.join(taken, "item", "left_anti").mapInPandas(assign, "g long, d double, item string")
+        missing = size - len(chosen)
+        turn = F.row_number().over(Window.partitionBy("g").orderBy("d", "item"))
+        rest = rest.withColumn("turn", turn).where(F.col("turn") <= missing).orderBy("turn", "d", "item").limit(missing)
+        chosen |= {r["item"]: r["g"] for r in rest.collect()}
+    out = [(i, int(g), int(sizes[g])) for i, g in sorted(chosen.items())]
     return spark.createDataFrame(out, f"`{item}` string, `group` int, group_entries int")

@@ -367,6 +367,39 @@ def test_tree_keeps_all_records_within_its_bound():
         tree.insert(1.0, row.copy(), float(row @ row))
     n, s, _ = tree.leaves()
     assert n.sum() == 2000 and len(n) <= 50 and s.sum(0) == pytest.approx(x.sum(0))
+    together = varied.ClusterFeatureTree(4, 50)
+    together.insert_all(np.ones(2000), x, (x * x).sum(1))
+    n, s, q = together.leaves()
+    assert n.sum() == 2000 and len(n) <= 50 and s.sum(0) == pytest.approx(x.sum(0)) and q.sum() == pytest.approx((x * x).sum())
+
+
+def test_the_subset_depends_on_the_rows_alone(spark, monkeypatch):
+    monkeypatch.setattr(varied, "BUCKET_ROWS", 150)
+    monkeypatch.setattr(varied, "CHUNK_ROWS", 64)
+    monkeypatch.setattr(varied, "MIN_LEAVES", 40)
+    rng = np.random.default_rng(4)
+    rows = [(f"i{k}", [float(v) for v in rng.normal(size=3)], f"p{k % 37}") for k in range(1000)]
+    df = spark.createDataFrame(rows, "id string, v array<double>, pool string")
+    pick = lambda x: sorted(r["id"] for r in varied.varied_subset(x, "id", 10, "v", {"pool": 0.5}, vector_dims=3).collect())
+    first = pick(df)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for parts, adaptive, batch in (("13", "false", "10000"), ("3", "true", "70")):
+            for k, v in zip(before, (parts, adaptive, batch)):
+                spark.conf.set(k, v)
+            assert pick(df.orderBy(F.rand(7)).repartition(int(parts))) == first
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_a_subset_of_few_different_rows_and_of_too_many(spark):
+    rows = [(f"i{k}", f"p{k % 3}") for k in range(50)]
+    df = spark.createDataFrame(rows, "id string, pool string")
+    got = [r["id"] for r in varied.varied_subset(df, "id", 20, None, {"pool": 0.5}).collect()]
+    assert len(got) == len(set(got)) == 20 and {int(i[1:]) % 3 for i in got} == {0, 1, 2}
+    with pytest.raises(ValueError):
+        varied.varied_subset(df, "id", varied.MOST_CHOSEN + 1, None, {"pool": 0.5})
 
 
 def test_a_huge_clump_does_not_dominate(spark):
