@@ -178,10 +178,14 @@ class ClusterFeatureTree:
         d = ((some[:, None] - centres[None]) ** 2).sum(-1)
         near = np.sort(np.where(d <= 1e-12, np.inf, d).min(1))
         near = near[np.isfinite(near)]
-        step = float(np.quantile(near, 0.3)) if len(near) else 0.0
-        self.threshold = max(self.threshold * 1.5, step)
-        self.root, self.entries = _Node(self.dims, True), 0
-        self.insert_all(n, s, q)
+        # Half of the entries should stay: a smaller step is taken if too many would merge.
+        for share in (0.3, 0.15, 0.07, 0.03, 0.01):
+            step = float(np.quantile(near, share)) if len(near) else 0.0
+            tree = ClusterFeatureTree(self.dims, self.most, max(self.threshold * (1 + share), step))
+            tree.insert_all(n, s, q)
+            if tree.entries * 2 >= self.most:
+                break
+        self.root, self.entries, self.threshold = tree.root, tree.entries, tree.threshold
 
 
 def ward_groups(centres: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
