@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Items of one block, which is broadcast; more items are taken in several blocks against all texts.
-BLOCK_ITEMS = 20_000
+#: Bytes of the items of one block, about, which is broadcast; more items are taken in several blocks against all texts.
+BLOCK_BYTES = 8 << 20
 #: Words of a seed.
 SEED_WORDS = 3
 #: A seed is rare if at most this share of the texts hold it, or if it is among this part of its item's seeds, the
@@ -37,7 +37,8 @@ SAME, MISREAD, OTHER, GAP_START, GAP_WORD = 1.0, 0.8, -1.2, 1.0, 0.03
 MIN_SCORE, MIN_SCORE_RARE, MANY_RARE = 16.5, 12.0, 4
 #: Below this score, and with few rare seeds, so many of the words spanned must match: stock wording matches loosely.
 SURE_SCORE, DENSITY = 20.0, 0.88
-#: Around its chain a text is aligned as far as the item's other words can reach: so many words for each, and a margin.
+#: Around its chain a text is aligned as far as the item's other words can reach: so many words for each, and a margin. Parts of an
+#: item that lie farther apart in a text than that are no run of it, and each is judged by itself.
 WINDOW_PER_WORD, WINDOW_MARGIN = 3, 60
 #: Words and word pairs that a worker remembers.
 KEEP_WORDS, KEEP_PAIRS = 400_000, 400_000
@@ -61,18 +62,32 @@ def passage(text: str) -> str:
 
 
 def edits_within(a: str, b: str, most: int) -> bool:
-    """Whether the Levenshtein distance of two words is at most ``most``."""
+    """Whether the Levenshtein distance of two words is at most ``most``: a column of the table at a time, as the bits where it steps up or down."""
     if abs(len(a) - len(b)) > most:
         return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        if min(new) > most:
-            return False
-        row = new
-    return row[-1] <= most
+    if not a or not b:
+        return True  # one is empty, and the other no longer than allowed
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, edits = every, 0, len(a)
+    for c in b:
+        same = at.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        plus, minus = down | (every & ~(diagonal | up)), up & diagonal
+        edits += bool(plus & last) - bool(minus & last)
+        plus, minus = (plus << 1 | 1) & every, minus << 1 & every
+        up, down = minus | (every & ~(diagonal | plus)), plus & diagonal
+    return edits <= most
+
+
+def letter_counts(word: str) -> bytes:
+    """How often each of 32 classes of letters occurs in a word; an edit changes these by two at most."""
+    counts = bytearray(32)
+    for c in word[:4096]:
+        counts[ord(c) & 31] = min(counts[ord(c) & 31] + 1, 255)
+    return bytes(counts)
 
 
 class Lexicon(dict):
@@ -88,6 +103,7 @@ class Lexicon(dict):
         self.words = list(words)
         self.ids = dict(self.base)
         self.masks = [self._mask(w) for w in words]
+        self.counts = [letter_counts(w) for w in words]
         self.near: dict[tuple[int, int], bool] = {}
 
     @staticmethod
@@ -106,6 +122,7 @@ class Lexicon(dict):
             k = self.ids[w] = len(self.words)
             self.words.append(w)
             self.masks.append(self._mask(w))
+            self.counts.append(letter_counts(w))
         return (k,)
 
     def __missing__(self, raw: str) -> tuple[int, ...]:
@@ -120,7 +137,7 @@ class Lexicon(dict):
     def tidy(self) -> None:
         """Forgets the words that are not the items', between batches, once there are too many."""
         if len(self.words) > KEEP_WORDS or len(self) > KEEP_WORDS:
-            del self.words[self.size :], self.masks[self.size :]
+            del self.words[self.size :], self.masks[self.size :], self.counts[self.size :]
             self.ids = dict(self.base)
             self.clear()
             self.near.clear()
@@ -214,7 +231,12 @@ def align(item: np.ndarray, text: np.ndarray, lexicon: Lexicon, least: float = 0
         np.bitwise_count(masks[None, :] ^ goal_masks[:, None]) <= 2 * most
     )
     close &= sim != SAME
-    for a, b in zip(*np.nonzero(close)):
+    # Of the pairs whose letters may suffice, those whose letter counts may.
+    goal, own = np.nonzero(close)
+    bags = np.frombuffer(b"".join([lexicon.counts[k] for k in uniq]), np.uint8).reshape(-1, 32).astype(np.int16)
+    goal_bags = np.frombuffer(b"".join([lexicon.counts[k] for k in wanted]), np.uint8).reshape(-1, 32).astype(np.int16)
+    few = np.abs(goal_bags[goal] - bags[own]).sum(1) <= 2 * most[goal, own]
+    for a, b in zip(goal[few], own[few]):
         if lexicon.misread(int(uniq[b]), int(wanted[a])):
             sim[a, b] = MISREAD
     scores = sim[np.searchsorted(wanted, item)][:, inverse.ravel()]
@@ -360,8 +382,9 @@ def find_leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item
     Method: word trigrams of the items are seeds. A first pass counts in how many texts each seed occurs, and occurs
     outside of runs of its item: tasks send at most one row a seed and place in an item. The seeds of a text that are no stock
     wording then name the items to compare it with, and Smith-Waterman alignment over words (``align``) decides, which bears line
-    ends, broken and misread words, words dropped or slipped in, and other columns in between. The items are broadcast in blocks of ``BLOCK_ITEMS``; the corpus is never
-    shuffled, so no text, item or seed can become a hot key, and every text is compared whole.
+    ends, broken and misread words, words dropped or slipped in, and other columns in between. Seeds are sought in whole texts; the alignment
+    covers the part of the text where words of the item can still belong to its longest chain of seeds (``WINDOW_PER_WORD``). The items
+    are broadcast in blocks of ``BLOCK_BYTES``; the corpus is never shuffled, so no text, item or seed can become a hot key.
 
     Defined cases: null, empty and blank texts hold nothing; null or empty items, and items of fewer words than a seed,
     are never found; an item given twice is found for both rows; repeated texts are each reported; ids may be null;
@@ -379,9 +402,9 @@ def find_leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item
             T.StructField("matched", T.IntegerType()),
         ]
     )
-    n_docs, n_items = docs.count(), held.count()
+    n_docs, n_bytes = docs.count(), held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     found = spark.createDataFrame([], schema)
-    n_blocks = -(-n_items // BLOCK_ITEMS)
+    n_blocks = -(-n_bytes // BLOCK_BYTES)
     for b in range(n_blocks):
         part = held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b) if n_blocks > 1 else held
         block = Block.of([(r[0], r[1]) for r in part.collect()])

@@ -125,6 +125,35 @@ def test_leaks_whole_part_edited_and_set_in_lines(spark):
     assert leakage.find_leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
+def test_items_in_several_blocks_and_halves_far_apart(spark, monkeypatch):
+    rng = random.Random(11)
+    items = [(k, passage(rng)) for k in range(6)]
+    texts = [passage(rng, 60) + " " + t + " " + passage(rng, 60) for _, t in items]
+    first, second = items[0][1].split()[:22], items[0][1].split()[22:]
+    texts += [" ".join(first) + " " + passage(rng, 600) + " " + " ".join(second)]  # each half is a run by itself
+    docs = spark.createDataFrame(list(enumerate(texts)), "d long, t string")
+    held = spark.createDataFrame(items, "i long, t string")
+    want = {(k, k) for k in range(6)} | {(6, 0)}
+    assert {(r[0], r[1]) for r in leakage.find_leaks(docs, "d", "t", held, "i", "t").collect()} == want
+    monkeypatch.setattr(leakage, "BLOCK_BYTES", 500)
+    assert {(r[0], r[1]) for r in leakage.find_leaks(docs, "d", "t", held, "i", "t").collect()} == want
+
+
+def test_edits_within_equals_the_table():
+    rng = random.Random(1)
+    for _ in range(500):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        for most in range(4):
+            if a and b:
+                assert leakage.edits_within(a, b, most) == (row[-1] <= most)
+
+
 def test_an_item_in_most_texts_is_still_found(spark):
     rng = random.Random(5)
     item = passage(rng)
