@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -15,10 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-#: Texts of one slice: their new words are gathered into one inverted index and replayed together.
+#: The corpus's most frequent chunks are replayed once for all and sent to the workers: at most so many, of so many bytes at most each.
+CORPUS_CHUNKS, CHUNK_BYTES = 200_000, 64
+#: Chunks counted by one task before it hands its partial counts on.
+FLUSH_CHUNKS = 400_000
+#: Texts of one slice: chunks that are not among those sent are gathered into one inverted index and replayed together.
 SLICE_TEXTS = 1_000
-#: Encoded chunks that a worker keeps for later slices; beyond it the store is emptied.
-KEEP_CHUNKS = 250_000
+#: Encoded chunks that a worker keeps for later slices beside those sent; beyond it they are dropped.
+KEEP_CHUNKS = 100_000
 
 # The split pattern of the vocabulary and the code points of White_Space.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -54,6 +59,7 @@ class MergeReplay:
             self.made.append(ids[a + b])
         self.rank = {(a << 32) | b: r for r, (a, b) in enumerate(zip(self.left, self.right))}
         self.kept: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word. Every merge is applied in rank order to all words.
@@ -127,14 +133,18 @@ class MergeReplay:
         for c, ws in parts.items():
             self.kept[c] = np.array([t for w in ws for t in ids[w]], np.int32).tobytes()
 
+    def start(self, known: dict[str, bytes]) -> None:
+        """Keeps the encodings of the corpus's frequent chunks for good."""
+        self.known, self.kept = known, dict(known)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers; none for a null or empty text."""
         split = [_CHUNKS.findall(t) if t else () for t in texts]
         kept = self.kept
         new = {c for s in split for c in s if c not in kept}
-        if len(kept) + len(new) > KEEP_CHUNKS:
-            kept.clear()
-            new = {c for s in split for c in s}
+        if len(kept) - len(self.known) + len(new) > KEEP_CHUNKS:
+            kept = self.kept = dict(self.known)
+            new = {c for s in split for c in s if c not in kept}
         if new:
             self.learn(new)
         return [b"".join([kept[c] for c in s]) for s in split]
@@ -143,16 +153,50 @@ class MergeReplay:
 _LOADED: dict[int, MergeReplay] = {}
 
 
+def _loaded(raw: bytes) -> MergeReplay:
+    key = hash(raw)
+    if key not in _LOADED:
+        _LOADED[key] = MergeReplay(raw)
+    return _LOADED[key]
+
+
+def frequent_chunks(texts: DataFrame) -> DataFrame:
+    """``(chunk)``: the chunks met most often in the corpus, at least twice, by counts that each task combines before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            part = pa.RecordBatch.from_arrays([pa.array(met.keys(), pa.string()), pa.array(met.values(), pa.int64())], names=["chunk", "n"])
+            met.clear()
+            return part
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t:
+                    met.update(_CHUNKS.findall(t))
+                if len(met) > FLUSH_CHUNKS:
+                    yield out()
+        # A chunk met once by a task may be met by others, too.
+        yield out()
+
+    counts = texts.mapInArrow(count, "chunk string, n long").where(F.octet_length("chunk") <= CHUNK_BYTES)
+    counts = counts.groupBy("chunk").agg(F.sum("n").alias("n")).where("n > 1")
+    return counts.orderBy(F.desc("n"), "chunk").limit(CORPUS_CHUNKS).select("chunk")
+
+
 def encode_corpus(df: DataFrame, doc_id: str, text: str, vocabulary_path: str) -> DataFrame:
     """``(doc_id, ids)``: the token ids of each whole text, one row for each row given, without special tokens.
 
     ``vocabulary_path`` names a byte-level BPE file (JSON with ``model.vocab`` and ``model.merges``). The driver reads
     it once and sends its few megabytes to the workers.
 
-    Method: corpus-level merge replay. The words of a slice of the corpus are made distinct and laid out in one
-    array; an inverted index from token pair to positions lets every merge be applied in rank order, touching only
-    changed neighbours (``MergeReplay.replay``). A worker keeps the encodings of words met before, so each is replayed
-    once a worker; nothing is shuffled, and memory is bounded by ``SLICE_TEXTS`` texts and ``KEEP_CHUNKS`` chunks.
+    Method: corpus-level merge replay. The corpus's chunks (white space and what follows) are counted; the words of the
+    ``CORPUS_CHUNKS`` most frequent are laid out in arrays, and an inverted index from token pair to positions lets every
+    merge be applied in rank order, touching only changed neighbours (``MergeReplay.replay``). Their encodings, of bounded
+    size, are sent to the workers, who put the texts' ids together. The chunks beyond those, which are mostly misread and met
+    once, are replayed in the same way by slices of texts. So no text and no word is shuffled but for the partial counts, and memory
+    is bounded by ``CORPUS_CHUNKS``, ``SLICE_TEXTS`` texts and ``KEEP_CHUNKS`` chunks.
 
     Defined cases: null and empty texts give an empty list; blank texts are encoded like any other; strings that look
     like special tokens are ordinary text; repeated rows and null ids are kept as they are; an empty table gives no
@@ -160,14 +204,25 @@ def encode_corpus(df: DataFrame, doc_id: str, text: str, vocabulary_path: str) -
     """
     spark = df.sparkSession
     vocabulary = spark.sparkContext.broadcast(Path(vocabulary_path).read_bytes())
-    schema = df.select(F.col(doc_id).alias("doc_id")).schema.add("ids", ArrayType(IntegerType()))
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    schema = docs.select("doc_id").schema.add("ids", ArrayType(IntegerType()))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = _loaded(vocabulary.value)
+        for batch in batches:
+            chunks = batch.column(0).to_pylist()
+            replay.start({})
+            replay.learn(chunks)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([replay.kept[c] for c in chunks], pa.binary())], names=["chunk", "ids"])
+
+    frequent = frequent_chunks(docs.select("text"))
+    learned = frequent.repartition(spark.sparkContext.defaultParallelism, "chunk").mapInArrow(learn, "chunk string, ids binary")
+    known = spark.sparkContext.broadcast({r["chunk"]: bytes(r["ids"]) for r in learned.collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = vocabulary.value
-        key = hash(raw)
-        if key not in _LOADED:
-            _LOADED[key] = MergeReplay(raw)
-        replay = _LOADED[key]
+        replay = _loaded(vocabulary.value)
+        if replay.known is not known.value:
+            replay.start(known.value)
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_TEXTS):
                 part = batch.slice(start, SLICE_TEXTS)
@@ -178,7 +233,7 @@ def encode_corpus(df: DataFrame, doc_id: str, text: str, vocabulary_path: str) -
                 lists = pa.ListArray.from_arrays(pa.array(offsets), values)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def decode(ids: Iterable[int], vocabulary: bytes) -> str:
