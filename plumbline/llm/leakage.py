@@ -220,7 +220,7 @@ def align(item: np.ndarray, text: np.ndarray, lexicon: Lexicon, least: float = 0
     """
     n, m = len(item), len(text)
     uniq, inverse = np.unique(text, return_inverse=True)
-    wanted = np.unique(item)
+    wanted = _distinct(item)
     sim = np.where(uniq[None, :] == wanted[:, None], SAME, OTHER)
     masks = np.array([lexicon.masks[k] for k in uniq], np.uint32)
     sizes = np.array([len(lexicon.words[k]) for k in uniq])
@@ -298,6 +298,12 @@ def _lexicon(block: Block) -> Lexicon:
     return _LEXICONS[key]
 
 
+def _distinct(a: np.ndarray) -> np.ndarray:
+    """The different values in order, by sorting: several times as fast as by hashing where keys are products of a few numbers."""
+    a = np.sort(a)
+    return a[np.append(True, a[1:] != a[:-1])] if len(a) else a
+
+
 def _places(block: Block, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every place of the seeds found: which of ``seed`` it is of, and the index of the place."""
     counts = np.diff(block.place_start)[seed]
@@ -307,7 +313,7 @@ def _places(block: Block, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _covers(group: np.ndarray, q: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """The groups, sorted, and the words of the item that the seeds at ``q`` cover in each, in any order."""
-    uniq = np.unique(group * longest + q)
+    uniq = _distinct(group * longest + q)
     owner = uniq // longest
     step = np.full(len(uniq), SEED_WORDS)
     step[:-1] = np.where(owner[1:] == owner[:-1], np.minimum(uniq[1:] - uniq[:-1], SEED_WORDS), SEED_WORDS)
@@ -328,7 +334,7 @@ def _outside(block: Block, doc: np.ndarray, pos: np.ndarray, seed: np.ndarray) -
         most = np.maximum(most, _covers(group, q, longest)[1][group])
     size = np.array([len(x) for x in block.items])[item]
     found = (d * n_places + at)[most < np.minimum(OWN_RUN, size)]
-    return np.bincount(np.unique(found) % n_places, minlength=n_places)
+    return np.bincount(_distinct(found) % n_places, minlength=n_places)
 
 
 def _pairs(block: Block, doc: np.ndarray, pos: np.ndarray, seed: np.ndarray, own: np.ndarray, rare: np.ndarray):
@@ -343,7 +349,7 @@ def _pairs(block: Block, doc: np.ndarray, pos: np.ndarray, seed: np.ndarray, own
     pairs, cover = _covers(pair, q, longest)
 
     def seeds_of(is_rare: np.ndarray) -> np.ndarray:
-        rare_pair = np.unique(pair[is_rare] * len(block.seeds) + s[is_rare]) // len(block.seeds)
+        rare_pair = _distinct(pair[is_rare] * len(block.seeds) + s[is_rare]) // len(block.seeds)
         return np.searchsorted(rare_pair, pairs, "right") - np.searchsorted(rare_pair, pairs, "left")
 
     n_own, n_rare = seeds_of(own[at]), seeds_of(rare[at])
@@ -423,7 +429,7 @@ def _search(docs: DataFrame, block: Block, n_docs: int, schema) -> DataFrame:
             ids, starts = _batch_ids(pdf["text"].tolist(), lexicon)
             pos, seed = block.hits(ids)
             doc = np.searchsorted(starts, pos, "right") - 1
-            n = np.bincount(np.unique(doc * len(block.seeds) + seed) % len(block.seeds), minlength=len(block.seeds))
+            n = np.bincount(_distinct(doc * len(block.seeds) + seed) % len(block.seeds), minlength=len(block.seeds))
             sums += [np.repeat(n, np.diff(block.place_start)), _outside(block, doc, pos, seed)]
             lexicon.tidy()
         at = np.flatnonzero(sums[0])
