@@ -41,17 +41,20 @@ def batched_vendi(df: DataFrame, group: list[str], label: str = "label", idx: st
     """``(group, diversity)``: mean normalized Vendi score over batches of consecutive items.
 
     Strict: the batch is no larger than the group, a short last batch is dropped where there are several, and a score is divided
-    by its batch's length. Otherwise groups of fewer than 32 items are cut to 24 and every score is divided by ``batch``.
+    by its batch's length. Otherwise groups of fewer than 32 items are cut to 24 and every score is divided by ``batch``. An item without a
+    label counts in its batch's length, but has no label to differ.
     """
     w = Window.partitionBy(*group)
     rows = df.withColumn("at", F.row_number().over(w.orderBy(idx)) - 1).withColumn("n", F.count("*").over(w))
     if not strict:
         rows = rows.where((F.col("n") >= 32) | (F.col("at") < 24))
     rows = rows.withColumn("chunk", F.floor(F.col("at") / batch))
-    e = label_entropy(rows.withColumn("size", F.col("n")), [*group, "size", "chunk"], label)
     if strict:
-        e = e.where((F.col("n") == batch) | (F.col("size") < batch))
-        return e.groupBy(*group).agg(F.avg("vendi_norm").alias("diversity"))
+        length = F.least(F.lit(batch), F.col("n") - F.col("chunk") * batch)
+        e = label_entropy(rows.withColumn("size", F.col("n")).withColumn("length", length), [*group, "size", "length", "chunk"], label)
+        e = e.where((F.col("length") == batch) | (F.col("size") < batch))
+        return e.groupBy(*group).agg(F.avg(F.col("vendi") / F.col("length")).alias("diversity"))
+    e = label_entropy(rows.withColumn("size", F.col("n")), [*group, "size", "chunk"], label)
     return e.groupBy(*group).agg(F.avg(F.col("vendi") / batch).alias("diversity"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import asdict, dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +20,17 @@ LOW_MARGIN, HIGH_MARGIN, MAX_LACKING = math.log(0.9), math.log(1.1), 0.02
 def pool_contrast(items: DataFrame, k: int, draws: int, keys: list[str] = ["country", "template"], salt: str = "null") -> DataFrame:  # noqa: B006
     """``(pool_id, keys, delta, selected, null_mean, null_sd, z)`` of each pool: log Vendi of the top k's labels less the mean over matched random k's.
 
-    Both sides hold k items, so no rarefaction is needed.
+    Both sides hold k labelled items, so no rarefaction is needed: pools of fewer than k items, and pools with an item without a label, have
+    no contrast (``delta`` and what it comes from are null); for those with labels missing use ``endpoint``.
     """
+    whole = items.groupBy("pool_id", *keys).agg(((F.count("*") >= k) & (F.count("*") == F.count("label"))).alias("whole"))
     sel = label_entropy(top_k(items, k), ["pool_id", *keys]).select("pool_id", *keys, F.col("entropy").alias("selected"))
     null = label_entropy(random_k(items, k, draws, salt), ["pool_id", "draw"])
     null = null.groupBy("pool_id").agg(F.avg("entropy").alias("null_mean"), F.stddev_samp("entropy").alias("null_sd"))
+    either = whole.join(sel, ["pool_id", *keys], "left").join(null, "pool_id", "left")
+    ok = [F.when(F.col("whole"), F.col(c)).alias(c) for c in ("selected", "null_mean", "null_sd")]
     delta = F.col("selected") - F.col("null_mean")
-    return sel.join(null, "pool_id").select(
+    return either.select("pool_id", *keys, *ok).select(
         "pool_id", *keys, delta.alias("delta"), "selected", "null_mean", "null_sd", F.when(F.col("null_sd") > 0, delta / F.col("null_sd")).alias("z")
     )
 
@@ -33,15 +38,21 @@ def pool_contrast(items: DataFrame, k: int, draws: int, keys: list[str] = ["coun
 def endpoint(items: DataFrame, k: int, m: int, draws: int, keep: str = "keep", salt: str = "null") -> DataFrame:
     """The contrast on kept items only: select among all, then keep, then rarefy to ``m``.
 
-    ``(pool_id, delta, lo, hi, n_kept, kept_selected, lacking, kept_shift, non_estimable, reason)``. The filter never comes before the selection.
-    Reasons, in order: the selection keeps fewer than m; the chance that a null draw does is more than ``MAX_LACKING``; the bracket from that
-    chance is wider than the upper margin. ``lacking`` is this chance, exact, and not the share of the draws made.
+    ``(pool_id, n_pool, delta, lo, hi, n_kept, kept_selected, selected_deficit, lacking, kept_shift, non_estimable, reason)``. The filter
+    never comes before the selection. Reasons, in order: the pool is smaller than k; the selection keeps fewer than m; the chance that a
+    null draw does is more than ``MAX_LACKING``; the bracket from that chance is wider than the upper margin. ``lacking`` is this chance,
+    exact, and not the share of the draws made. ``selected_deficit`` is the share of the k that the filter took, ``kept_shift`` how much
+    larger the kept share of the selection is than that of the null draws.
     """
     kept = lambda d: d.where(F.col(keep))
-    n_kept = items.groupBy("pool_id").agg(F.count("*").alias("n_all"), F.count_if(keep).alias("n_kept"))
-    chance = F.udf(lambda n, kept: float(hypergeom_below(n, kept, min(k, n), m)), "double")
-    exact = n_kept.select("n_all", "n_kept").distinct().withColumn("lacking", chance("n_all", "n_kept"))
-    n_kept = n_kept.join(exact, ["n_all", "n_kept"])
+
+    @F.pandas_udf("double")
+    def chance(n: pd.Series, good: pd.Series) -> pd.Series:
+        return pd.Series([hypergeom_below(int(a), int(b), k, m) if a >= k else None for a, b in zip(n, good)], dtype=float)
+
+    n_kept = items.groupBy("pool_id").agg(F.count("*").alias("n_pool"), F.count_if(keep).alias("n_kept"))
+    exact = n_kept.select("n_pool", "n_kept").distinct().withColumn("lacking", F.nullif(chance("n_pool", "n_kept"), F.lit(float("nan"))))
+    n_kept = n_kept.join(exact, ["n_pool", "n_kept"])
     chosen = top_k(items, k)
     n_sel = chosen.groupBy("pool_id").agg(F.count_if(keep).alias("kept_selected"))
     d_sel = rarefaction(kept(chosen), ["pool_id"], m).select("pool_id", F.col("rarefied").alias("d"))
@@ -53,20 +64,24 @@ def endpoint(items: DataFrame, k: int, m: int, draws: int, keep: str = "keep", s
     j = n_kept.join(n_sel, "pool_id").join(d_sel, "pool_id", "left").join(per, "pool_id", "left")
     hi = F.ln("d") - (1 - F.col("lacking")) * F.col("log_null") - F.col("lacking") * F.lit(-math.log(m))
     lo = F.ln("d") - (1 - F.col("lacking")) * F.col("log_null")
+    small = F.col("n_pool") < k
     reason = (
-        F.when(F.col("kept_selected") < m, F.concat(F.lit("selection keeps too few ("), "kept_selected", F.lit(")")))
+        F.when(small, F.lit("pool smaller than k"))
+        .when(F.col("kept_selected") < m, F.concat(F.lit("selection keeps too few ("), "kept_selected", F.lit(")")))
         .when(F.col("lacking") > MAX_LACKING, F.lit("null draws keep too few"))
         .when(hi - lo > HIGH_MARGIN, F.lit("bracket too wide"))
     )
     return j.select(
         "pool_id",
+        "n_pool",
         F.when(reason.isNull(), F.ln("d") - F.col("log_null")).alias("delta"),
         F.when(reason.isNull(), F.least(lo, hi)).alias("lo"),
         F.when(reason.isNull(), F.greatest(lo, hi)).alias("hi"),
         "n_kept",
-        "kept_selected",
+        F.when(~small, F.col("kept_selected")).alias("kept_selected"),
+        F.when(~small, 1 - F.col("kept_selected") / F.lit(k)).alias("selected_deficit"),
         "lacking",
-        (F.col("kept_selected") - F.col("mean_kept_null")).alias("kept_shift"),
+        F.when(~small, (F.col("kept_selected") - F.col("mean_kept_null")) / F.lit(k)).alias("kept_shift"),
         reason.isNotNull().alias("non_estimable"),
         reason.alias("reason"),
     )
@@ -133,32 +148,55 @@ class Decision:
     p_high: float | None = None
 
 
-def equivalence(theta: float | None, se: float | None, df: float | None, thin: bool = False, expected: int | None = None, found: int | None = None) -> Decision:
-    """Two one-sided t tests of theta against the margins: harmful, equivalent, inconclusive or non_estimable."""
-    if theta is None or se is None:
+#: Estimable pools without which nothing is called equivalent or harmful.
+MIN_POOLS = 4
+
+
+def equivalence(
+    theta: float | None, se: float | None, df: float | None, thin: bool = False, expected: int | None = None, found: int | None = None,
+    pools: int | None = None, margin: float = 0.1,
+) -> Decision:
+    """Two one-sided t tests of theta at 5 % each against ln(1 - margin) and ln(1 + margin): harmful, equivalent, inconclusive or non_estimable.
+
+    ``lo`` and ``hi`` are the one-sided bounds, a 90 % interval; harmful if ``hi`` lies below the margin of loss, equivalent if both lie within.
+    """
+    low, high = math.log1p(-margin), math.log1p(margin)
+    if theta is None:
         return Decision("non_estimable", "no finite contrasts")
     if expected is not None and found != expected:
         return Decision("non_estimable", "a country of the design is missing", theta)
-    if thin or not df or df <= 0:
+    if thin:
         return Decision("non_estimable", "a cell has fewer than two pools", theta)
-    if se == 0:
-        inside = LOW_MARGIN < theta < HIGH_MARGIN
-        return Decision("equivalent" if inside else "harmful" if theta <= LOW_MARGIN else "inconclusive", None, theta, theta, theta)
-    p_low, p_high = 1 - t_cdf((theta - LOW_MARGIN) / se, df), t_cdf((theta - HIGH_MARGIN) / se, df)
-    half = t_ppf(0.975, df) * se
+    if pools is not None and pools < MIN_POOLS:
+        return Decision("non_estimable", f"fewer than {MIN_POOLS} estimable pools", theta)
+    if not se or not df or df <= 0:
+        return Decision("non_estimable", "no variance between pools", theta)
+    half = t_ppf(0.95, df) * se
+    p_low, p_high = 1 - t_cdf((theta - low) / se, df), t_cdf((theta - high) / se, df)
     d = Decision("inconclusive", None, theta, theta - half, theta + half, p_low, p_high)
-    if max(p_low, p_high) < 0.05:
-        d.verdict = "equivalent"
-    elif theta + half < LOW_MARGIN:
+    if d.hi < low:
         d.verdict = "harmful"
+    elif d.lo > low and d.hi < high:
+        d.verdict = "equivalent"
     return d
 
 
-def country_marginal(deltas: DataFrame, expected: int | None = None) -> dict:
+def equivalence_iid(deltas: DataFrame, value: str = "delta", margin: float = 0.1) -> Decision:
+    """The test on pools as exchangeable replicates: their moments in Spark, one row to the driver."""
+    x = F.when(~F.isnan(value), F.col(value))
+    r = deltas.agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("sd")).first()
+    if r["n"] < MIN_POOLS:
+        return Decision("non_estimable", f"fewer than {MIN_POOLS} estimable pools", r["m"])
+    return equivalence(r["m"], (r["sd"] or 0.0) / math.sqrt(r["n"]), r["n"] - 1, margin=margin)
+
+
+def country_marginal(deltas: DataFrame, expected: int | None = None, value: str = "delta", margin: float = 0.1) -> dict:
     """The whole chain for one relation of (country, template, delta): moments in Spark, one row to the driver, then the test."""
-    rows = marginal_moments(cell_moments(deltas)).collect()
+    cells = cell_moments(deltas, value)
+    rows = marginal_moments(cells).collect()
     r = rows[0].asDict() if rows else {}
-    return asdict(equivalence(r.get("theta"), r.get("se"), r.get("df"), bool(r.get("thin", True)), expected, r.get("countries")))
+    pools = cells.agg(F.sum("pools")).first()[0] or 0
+    return asdict(equivalence(r.get("theta"), r.get("se"), r.get("df"), bool(r.get("thin", True)), expected, r.get("countries"), pools, margin))
 
 
 def welch(means: list[float], variances: list[float], dfs: list[float]) -> tuple[float, float, float, float]:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.runtime import rank_score
+from plumbline.runtime import materialize, rank_score
 
 #: A greedy selector holds one pool in one task. Larger pools are refused rather than cut: use ``stratified_top_k``, which has no such limit.
 MAX_POOL = 50_000
@@ -104,8 +104,11 @@ def top_fraction(df: DataFrame, fraction: float, least: int = 4, salt: str = "ti
 
 
 def best_of_n(df: DataFrame, sizes: list[int], k: int, reps: int, salt: str = "bon", pool: str = "pool_id", idx: str = "idx") -> DataFrame:
-    """The top k of random n-subsets of each pool, for each n of ``sizes`` and each repetition."""
-    d = with_draws(df.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))), reps)
+    """The top k of random n-subsets of each pool, for each n of ``sizes`` and each repetition; the whole pool once where n is its size, and
+    none where it is smaller."""
+    counts = df.groupBy(pool).agg(F.count("*").alias("n_pool"))
+    d = with_draws(df.join(counts, pool).withColumn("size", F.explode(F.array(*map(F.lit, sizes)))), reps)
+    d = d.where((F.col("size") < F.col("n_pool")) | ((F.col("size") == F.col("n_pool")) & (F.col("draw") == 1))).drop("n_pool")
     d = d.withColumn("priority", priority(salt, "draw", pool, idx))
     w = Window.partitionBy(pool, "size", "draw").orderBy("priority", idx)
     subset = d.withColumn("at", F.row_number().over(w)).where(F.col("at") <= F.col("size"))
@@ -183,16 +186,29 @@ def log_vendi(u: np.ndarray) -> float:
 
 
 def greedy_vendi(scores: np.ndarray, e: np.ndarray, k: int, gamma: float) -> list[int]:
-    """Greedy log-Vendi of the chosen set plus gamma times its mean score."""
-    z, u, out = _z(scores), _unit(e), []
-    for _ in range(min(k, len(z))):
-        best, at = -np.inf, -1
-        for i in range(len(z)):
-            if i not in out:
-                v = log_vendi(u[[*out, i]]) + gamma * z[[*out, i]].mean()
-                if v > best + 1e-12:
-                    best, at = v, i
-        out.append(at)
+    """From the best score on, always the item that gives the chosen set the greatest log Vendi plus gamma times its mean score.
+
+    The kernels of the set with each candidate differ in one border, so all are stacked and solved at once, in parts of bounded size.
+    """
+    z, u = _z(scores), _unit(e)
+    out, free = [int(z.argmax())], np.ones(len(z), bool)
+    free[out] = False
+    while len(out) < min(k, len(z)):
+        n, rest = len(out) + 1, np.flatnonzero(free)
+        value = np.empty(len(rest))
+        step = max(1, 2_000_000 // (n * n))
+        for lo in range(0, len(rest), step):
+            part = rest[lo : lo + step]
+            kernel = np.empty((len(part), n, n))
+            kernel[:, :-1, :-1] = u[out] @ u[out].T
+            kernel[:, -1, :-1] = kernel[:, :-1, -1] = u[part] @ u[out].T
+            kernel[:, -1, -1] = 1.0
+            w = np.clip(np.linalg.eigvalsh(kernel) / n, 1e-300, None)
+            value[lo : lo + step] = -(w * np.log(w) * (w > 1e-12)).sum(1)
+        value += gamma * (z[out].sum() + z[rest]) / n
+        best = int(rest[np.flatnonzero(value >= value.max() - 1e-12)[0]])
+        out.append(best)
+        free[best] = False
     return out
 
 
@@ -278,6 +294,30 @@ def evaluate(items: DataFrame, selected: DataFrame, config: list[str], pool: str
     return mine.join(stats, pool).select(pool, *config, gain.alias("raw_gain"), F.when(F.col("sd") > 0, gain / F.col("sd")).otherwise(0.0).alias("std_gain"))
 
 
+def frontier_rows(items: DataFrame, selected: DataFrame, config: list[str], k: int, draws: int, pool: str = "pool_id", idx: str = "idx") -> DataFrame:
+    """``(pool, config, delta, emb_delta, raw_gain, std_gain)`` of each configuration's choice, and a ``random`` one that is 0 in all.
+
+    ``delta`` and ``emb_delta`` are the log Vendi scores of the labels and of the embeddings less their means over the same random k's, which are drawn
+    once for all configurations; ``items`` has label, embedding and judge.
+    """
+    from plumbline.operators.diversity import label_entropy, vendi
+
+    null = materialize(random_k(items.select(pool, idx, "label", "embedding"), k, draws, pool=pool, idx=idx), "null")
+    means = label_entropy(null, [pool, "draw"]).groupBy(pool).agg(F.avg("entropy").alias("null_label"))
+    looks = vendi(null, [pool, "draw"], order=idx).groupBy(pool).agg(F.avg("log_vendi").alias("null_look"))
+    chosen = materialize(selected.join(items.select(pool, idx, "label", "embedding"), [pool, idx]), "chosen")
+    mine = label_entropy(chosen, [pool, *config]).select(pool, *config, F.col("entropy").alias("own_label"))
+    own = vendi(chosen, [pool, *config], order=idx).select(pool, *config, F.col("log_vendi").alias("own_look"))
+    gains = evaluate(items, selected, config, pool, idx)
+    rows = gains.join(mine, [pool, *config], "left").join(own, [pool, *config], "left").join(means, pool, "left").join(looks, pool, "left")
+    rows = rows.select(pool, *config, (F.col("own_label") - F.col("null_label")).alias("delta"), (F.col("own_look") - F.col("null_look")).alias("emb_delta"), "raw_gain", "std_gain")
+    kinds = dict(rows.dtypes)
+    name = {c: F.lit("random") if kinds[c] == "string" else F.lit(0).cast(kinds[c]) for c in config}
+    zero = F.lit(0.0)
+    base = items.select(pool).distinct().select(pool, *[v.alias(c) for c, v in name.items()], *[zero.alias(c) for c in ("delta", "emb_delta", "raw_gain", "std_gain")])
+    return rows.unionByName(base)
+
+
 def choose_on_tuning(rows: DataFrame, margin: float, config: str = "config", order: str = "grid_pos") -> DataFrame:
     """One configuration by (config, grid_pos, country, delta, gain): the greatest equal-country gain among those whose
     mean delta is at least ``margin``; if none, the least loss. Configurations that lack a country are left out; ties keep the grid's order."""
