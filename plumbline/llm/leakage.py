@@ -362,11 +362,10 @@ def _pairs(block: Block, doc: np.ndarray, pos: np.ndarray, seed: np.ndarray, own
     pair, p, q = pair[mine], p[mine], q[mine]
     order = np.lexsort((q, p, pair))
     pair, p, q = pair[order], p[order], q[order]
-    bounds = np.searchsorted(pair, np.append(chosen, chosen[-1] + 1)) if len(chosen) else []
-    for k, c in enumerate(chosen):
-        lo, hi = bounds[k], np.searchsorted(pair, c, "right")
-        places = list(zip(p[lo:hi].tolist(), q[lo:hi].tolist()))
-        yield int(c // n_items), int(c % n_items), int(n_own[keep][k]), int(n_rare[keep][k]), places
+    first, after = np.searchsorted(pair, chosen), np.searchsorted(pair, chosen, "right")
+    p, q = p.tolist(), q.tolist()
+    for c, lo, hi, own_seeds, rare_seeds in zip(chosen.tolist(), first.tolist(), after.tolist(), n_own[keep].tolist(), n_rare[keep].tolist()):
+        yield c // n_items, c % n_items, own_seeds, rare_seeds, list(zip(p[lo:hi], q[lo:hi]))
 
 
 def _batch_ids(texts: list[str | None], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
