@@ -88,10 +88,10 @@ def endpoint(items: DataFrame, k: int, m: int, draws: int, keep: str = "keep", s
 
 
 def dose_response(items: DataFrame, ks: list[int], draws: int, primary: int) -> DataFrame:
-    """``(k, pools, mean_delta, minus_primary)``: contrasts by k, and their paired difference from the primary k."""
+    """``(k, pools, mean_delta, minus_primary)``: contrasts by k, and their paired difference from the primary k. Pools smaller than a k have none for it."""
     parts = None
     for k in ks:
-        one = pool_contrast(items, k, draws).select("pool_id", F.lit(k).alias("k"), "delta")
+        one = pool_contrast(items, k, draws).where("delta IS NOT NULL").select("pool_id", F.lit(k).alias("k"), "delta")
         parts = one if parts is None else parts.unionByName(one)
     base = parts.where(F.col("k") == primary).select("pool_id", F.col("delta").alias("base"))
     return parts.join(base, "pool_id").groupBy("k").agg(

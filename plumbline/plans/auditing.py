@@ -11,6 +11,12 @@ from plumbline.operators import resampling as B
 from plumbline.operators import selection as S
 from plumbline.operators.diversity import label_entropy
 from plumbline.plans.base import ITEMS_SQL, items, rounded
+from plumbline.runtime import cached
+
+def contrast(spark, sf: str, k: int, draws: int):
+    """The contrasts of all pools against ``draws`` random k's: the null is drawn once a session and shared by the queries."""
+    return cached(spark, ("contrast", sf, k, draws), lambda: I.pool_contrast(items(spark, sf), k, draws))
+
 
 H = "ln(sum(c)) - sum(c * ln(c)) / sum(c)"
 
@@ -34,7 +40,7 @@ def contrast_sql(k: int = 16, draws: int = 32, salt: str = "null") -> str:
 )
 def i1(spark, sf):
     """Does keeping each pool's best 16 by score reduce label diversity against random 16?"""
-    return rounded(I.pool_contrast(items(spark, sf), 16, 32))
+    return rounded(contrast(spark, sf, 16, 32))
 
 
 @query("i1_endpoint_kept")
@@ -59,7 +65,7 @@ CELLS = "cm AS (SELECT country, template, count(*) AS pools, avg(delta) AS mean,
 
 @query("i5_cells", f"WITH {contrast_sql()}, {CELLS} SELECT country, template, pools, round(mean, 6) AS mean, round(v, 6) AS var_of_mean FROM cm")
 def i5(spark, sf):
-    return rounded(I.cell_moments(I.pool_contrast(items(spark, sf), 16, 32)))
+    return rounded(I.cell_moments(contrast(spark, sf, 16, 32)))
 
 
 @query(
@@ -68,7 +74,7 @@ def i5(spark, sf):
     CASE WHEN sum(v) > 0 THEN round(sum(v) * sum(v) / sum(v * v / (pools - 1)), 5) END AS df, min(pools) < 2 AS thin FROM cm GROUP BY country""",
 )
 def i5c(spark, sf):
-    c = I.country_moments(I.cell_moments(I.pool_contrast(items(spark, sf), 16, 32)))
+    c = I.country_moments(I.cell_moments(contrast(spark, sf, 16, 32)))
     return rounded(c.withColumn("df", F.round("df", 5)))
 
 
@@ -79,21 +85,21 @@ def i5c(spark, sf):
         round(sum(w * w * v) * sum(w * w * v) / sum(w * w * v * w * w * v / (pools - 1)), 4) AS df, min(pools) < 2 AS thin FROM w""",
 )
 def i6(spark, sf):
-    m = I.marginal_moments(I.cell_moments(I.pool_contrast(items(spark, sf), 16, 32)))
+    m = I.marginal_moments(I.cell_moments(contrast(spark, sf, 16, 32)))
     return rounded(m.withColumn("df", F.round("df", 4)))
 
 
 @query("i9_country_marginal")
 def i9(spark, sf):
     """Equivalence test of the equal-weight mean over countries."""
-    d = I.country_marginal(I.pool_contrast(items(spark, sf), 16, 32), expected=8)
+    d = I.country_marginal(contrast(spark, sf, 16, 32), expected=8)
     schema = "verdict string, reason string, estimate double, lo double, hi double, p_low double, p_high double"
     return rounded(spark.createDataFrame([tuple(d.values())], schema))
 
 
 @query("i10_heterogeneity")
 def i10(spark, sf):
-    h = I.heterogeneity(I.country_moments(I.cell_moments(I.pool_contrast(items(spark, sf), 16, 32))))
+    h = I.heterogeneity(I.country_moments(I.cell_moments(contrast(spark, sf, 16, 32))))
     return rounded(spark.createDataFrame([(h["verdict"], h["f"], h["p"])], "verdict string, f double, p double"))
 
 
@@ -105,32 +111,18 @@ def i10(spark, sf):
 )
 def i11(spark, sf):
     """Pairs of countries whose one-standard-error intervals do not meet."""
-    c = I.country_moments(I.cell_moments(I.pool_contrast(items(spark, sf), 16, 32)))
+    c = I.country_moments(I.cell_moments(contrast(spark, sf, 16, 32)))
     iv = c.select("country", F.round(F.col("mean") - F.sqrt("var"), 6).alias("lo"), F.round(F.col("mean") + F.sqrt("var"), 6).alias("hi"))
     return rounded(I.disjoint_pairs(iv), 5)
 
 
-@query(
-    "i21_robust_over_readers",
-    """WITH r AS (SELECT DISTINCT * FROM verify), s AS (SELECT decoy AS cell, reader, avg(p_yes - p_yes_decoy) + 0.05 AS hi FROM r WHERE decoy IS NOT NULL GROUP BY ALL)
-    SELECT cell, CASE WHEN count(DISTINCT CASE WHEN hi IS NOT NULL THEN reader END) < 3 THEN 'pending' WHEN bool_and(hi < 0) THEN 'yes' ELSE 'no' END AS verdict
-    FROM s WHERE reader IN ('reader_kelp', 'reader_lotus', 'reader_maple') GROUP BY cell""",
-)
-def i21(spark, sf):
-    from plumbline.runtime import read
-
-    v = read(spark, sf, "verify").dropDuplicates().where("decoy IS NOT NULL")
-    s = v.groupBy(F.col("decoy").alias("cell"), "reader").agg((F.avg(F.col("p_yes") - F.col("p_yes_decoy")) + 0.05).alias("hi"))
-    return I.robust_over_readers(s, ["cell"], ["reader_kelp", "reader_lotus", "reader_maple"])
-
-
 @query(
     "m1_log_contrast",
     f"""WITH {contrast_sql(16, 8)}, e AS (SELECT pool_id, exp(selected) AS vendi, null_mean FROM pc) SELECT pool_id, round(CASE WHEN vendi > 0 THEN ln(vendi) - null_mean END, 6) AS delta,
         round(exp(ln(vendi) - null_mean) - 1, 6) AS change FROM e""",
 )
 def m1(spark, sf):
-    c = I.pool_contrast(items(spark, sf), 16, 8)
+    c = contrast(spark, sf, 16, 8)
     d = log_contrast(F.exp("selected"), F.col("null_mean"))
     return rounded(c.select("pool_id", d.alias("delta"), F.expm1(d).alias("change")))
 
@@ -142,7 +134,7 @@ def m1(spark, sf):
 )
 def m3(spark, sf):
     lo, hi = null_bias_bounds(F.col("selected"), F.col("null_mean"), (F.col("pool_id") % 5) / 50.0, 8)
-    return rounded(I.pool_contrast(items(spark, sf), 16, 8).select("pool_id", lo.alias("lo"), hi.alias("hi")))
+    return rounded(contrast(spark, sf, 16, 8).select("pool_id", lo.alias("lo"), hi.alias("hi")))
 
 
 # ---- resampling
@@ -174,13 +166,13 @@ def b1(spark, sf):
     SELECT round((SELECT estimate FROM e), 6) AS estimate, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, count(*) AS draws FROM r""",
 )
 def b2(spark, sf):
-    return rounded(B.bootstrap_mean(I.pool_contrast(items(spark, sf), 16, 8), ["country", "template"], "pool_id", "delta", 50))
+    return rounded(B.bootstrap_mean(contrast(spark, sf, 16, 8), ["country", "template"], "pool_id", "delta", 50))
 
 
 @query("b4_simultaneous_intervals")
 def b4(spark, sf):
     """Bootstrap-t intervals that hold for all countries at once."""
-    d = I.pool_contrast(items(spark, sf), 16, 8)
+    d = contrast(spark, sf, 16, 8)
     points = I.country_moments(I.cell_moments(d)).select("country", F.col("mean").alias("estimate"), F.sqrt("var").alias("se"))
     cells = I.cell_moments(B.resample(d, ["country", "template"], "pool_id", 50), by=["draw"])
     reps = I.country_moments(cells, by=["draw"]).select("draw", "country", F.col("mean").alias("m"), F.sqrt("var").alias("se"))

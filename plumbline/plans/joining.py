@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.catalog import query
 from plumbline.functions import text as X
 from plumbline.operators import integrity as C
+from plumbline.operators import matching as K
 from plumbline.plans.base import CHECKS_SQL, IMAGES_SQL, ITEMS_SQL, PHOTOS_SQL, READINGS_SQL, SCORED_SQL, checks, images, items, pictures, readings, rounded, scored
 from plumbline.runtime import read
+from plumbline.sources.stores import read_vocabulary
 
 
 @query(
@@ -87,20 +91,28 @@ def j8(spark, sf):
     return rounded(p.groupBy("country").agg(F.count("*").alias("pairs"), F.avg(F.col("a") - F.col("b")).alias("difference")))
 
 
+#: A name as normalized, in SQL: accents off (the labels are Latin), no parentheses and signs, one leading article off.
+def norm_sql(c: str) -> str:
+    plain = f"strip_accents(lower(nfc_normalize({c})))"
+    words = f"trim(regexp_replace(regexp_replace(regexp_replace({plain}, '\\([^)]*\\)', ' ', 'g'), '&', ' and ', 'g'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g'))"
+    return f"regexp_replace({words}, '^(the|a|an) +', '')"
+
+
 @query(
     "j14_vocabulary_status",
-    f"""WITH {READINGS_SQL}, v AS (SELECT DISTINCT country, lower(name) AS name FROM vocab), s AS (SELECT r.reader, CASE WHEN r.label IS NULL THEN 'unresolved'
-        WHEN NOT EXISTS (SELECT 1 FROM v WHERE v.name = lower(r.label)) THEN 'plausible_unlisted' WHEN NOT EXISTS (SELECT 1 FROM v WHERE v.name = lower(r.label) AND v.country = r.country) THEN 'off_country'
-        ELSE 'established' END AS status FROM readings r) SELECT reader, status, count(*) AS n FROM s GROUP BY ALL""",
+    f"""WITH {READINGS_SQL}, {PHOTOS_SQL}, v AS (SELECT DISTINCT country, {norm_sql("name")} AS name FROM vocab),
+    s AS (SELECT r.reader, CASE WHEN r.label IS NULL THEN 'unresolved' WHEN r.country IS NULL OR p.country IS NULL OR r.country <> p.country THEN 'off_country'
+        WHEN EXISTS (SELECT 1 FROM v WHERE v.country = p.country) AND NOT EXISTS (SELECT 1 FROM v WHERE v.country = p.country AND v.name = {norm_sql("r.label")}) THEN 'plausible_unlisted'
+        ELSE 'established' END AS status FROM readings r LEFT JOIN pictures p USING (image_id))
+    SELECT reader, count(*) AS n, round(avg((status = 'unresolved')::INT), 6) AS unresolved_rate, round(avg((status = 'off_country')::INT), 6) AS off_country_rate,
+        round(avg((status = 'plausible_unlisted')::INT), 6) AS plausible_unlisted_rate, round(avg((status = 'established')::INT), 6) AS established_rate,
+        round(1 - avg((status = 'established')::INT), 6) AS deficit FROM s GROUP BY reader""",
 )
 def j14(spark, sf):
-    """The status of every reading against the vocabulary."""
-    v = read(spark, sf, "vocab").select(F.lower("name").alias("name"), F.col("country").alias("home")).dropDuplicates()
-    anywhere = v.select("name").distinct().withColumn("listed", F.lit(True))
-    r = readings(spark, sf).withColumn("name", F.lower("label")).join(anywhere, "name", "left")
-    r = r.join(v.withColumn("native", F.lit(True)), (r["name"] == v["name"]) & (r["country"] == v["home"]), "left")
-    status = F.when(F.col("label").isNull(), "unresolved").when(F.col("listed").isNull(), "plausible_unlisted").when(F.col("native").isNull(), "off_country").otherwise("established")
-    return r.groupBy("reader", status.alias("status")).agg(F.count("*").alias("n"))
+    """The status of every reading, the country claimed against the photo's before the vocabulary of that country."""
+    p = pictures(spark, sf).select("image_id", F.col("country").alias("prompted"))
+    rows = readings(spark, sf).join(p, "image_id", "left")
+    return rounded(K.status_shares(K.statuses(rows, "label", "country", "prompted", read(spark, sf, "vocab"), "name", "country"), ["reader"]))
 
 
 @query(
@@ -127,20 +139,32 @@ def j16(spark, sf):
     return C.missing_members(e.join(F.broadcast(t)), i, ["country", "template"])
 
 
-@query("v1_mixed_generators", "SELECT pool_seed, count(DISTINCT generator_id) AS generators FROM manifest GROUP BY pool_seed HAVING count(DISTINCT generator_id) > 1")
+@query(
+    "v1_mixed_generators",
+    """WITH m AS (SELECT pool_seed, generator_id FROM manifest UNION ALL SELECT pool_seed, generator_id || '-other' FROM manifest WHERE kind = 'tune' AND idx = 0)
+    SELECT pool_seed, count(DISTINCT generator_id) AS generators FROM m GROUP BY pool_seed HAVING count(DISTINCT generator_id) > 1""",
+)
 def v1(spark, sf):
-    g = read(spark, sf, "manifest").groupBy("pool_seed").agg(F.countDistinct("generator_id").alias("generators"))
+    """Pools of several generators: the table has none, so the tuning pools get an image of another."""
+    m = read(spark, sf, "manifest")
+    other = m.where("kind = 'tune' AND idx = 0").select("pool_seed", F.concat("generator_id", F.lit("-other")).alias("generator_id"))
+    g = m.select("pool_seed", "generator_id").unionByName(other).groupBy("pool_seed").agg(F.countDistinct("generator_id").alias("generators"))
     return g.where("generators > 1")
 
 
 @query(
     "v2_pool_sizes",
-    f"WITH {IMAGES_SQL}, n AS (SELECT pool_seed, count(*) AS images, max(idx) + 1 AS reach FROM images GROUP BY pool_seed) SELECT pool_seed, images, reach::BIGINT AS reach FROM n WHERE images <> reach",
+    f"""WITH {IMAGES_SQL}, w AS (SELECT pool_seed, 8 AS wanted FROM pool_specs WHERE kind = 'tune' UNION ALL SELECT pool_seed, len(dishes) FROM pool_specs WHERE dishes IS NOT NULL AND kind <> 'tune'),
+    n AS (SELECT w.pool_seed, w.wanted, count(i.image_id) AS images FROM w LEFT JOIN images i USING (pool_seed) GROUP BY ALL) SELECT pool_seed, wanted::BIGINT AS wanted, images FROM n WHERE images <> wanted""",
 )
 def v2(spark, sf):
-    """Pools that lack a position: partly written ones."""
-    n = images(spark, sf).groupBy("pool_seed").agg(F.count("*").alias("images"), (F.max("idx") + 1).cast("long").alias("reach"))
-    return n.where("images <> reach")
+    """Pools with more or fewer images than their plan: as many as dishes, and here 8 for tuning pools."""
+    specs = read(spark, sf, "pool_specs")
+    wanted = F.when(F.col("kind") == "tune", 8).otherwise(F.size("dishes"))
+    w = specs.where("kind = 'tune' OR dishes IS NOT NULL").select("pool_seed", wanted.cast("long").alias("wanted"))
+    n = images(spark, sf).groupBy("pool_seed").agg(F.count("*").alias("images"))
+    j = w.join(n, "pool_seed", "left").withColumn("images", F.coalesce("images", F.lit(0)))
+    return j.where("images <> wanted").select("pool_seed", "wanted", "images")
 
 
 @query(
@@ -157,29 +181,119 @@ def v4(spark, sf):
     return C.duplicates(read(spark, sf, "manifest"), ["image_id"])
 
 
-@query("v5_repeated_seeds", "SELECT pool_seed, count(*) AS rows FROM pool_specs GROUP BY pool_seed HAVING count(*) > 1")
+@query(
+    "v5_repeated_seeds",
+    "WITH s AS (SELECT pool_seed FROM pool_specs UNION ALL SELECT pool_seed FROM pool_specs WHERE kind = 'tune') SELECT pool_seed, count(*) AS rows FROM s GROUP BY pool_seed HAVING count(*) > 1",
+)
 def v5(spark, sf):
-    return C.duplicates(read(spark, sf, "pool_specs"), ["pool_seed"])
+    """Seeds given twice: the table has none, so the tuning pools are planned again."""
+    s = read(spark, sf, "pool_specs").select("pool_seed", "kind")
+    return C.duplicates(s.unionByName(s.where("kind = 'tune'")), ["pool_seed"])
 
 
 @query(
     "v6_image_ids",
-    "SELECT image_id FROM manifest WHERE generator_id IS NULL OR prompt_id IS NULL OR image_id IS DISTINCT FROM generator_id || '#' || prompt_id || '#' || pool_seed || '#' || printf('%04d', idx) GROUP BY image_id",
+    """WITH m AS (SELECT image_id, generator_id, prompt_id, pool_seed, idx FROM manifest UNION ALL SELECT image_id, generator_id, prompt_id, pool_seed, idx + 1 FROM manifest WHERE kind = 'tune')
+    SELECT image_id FROM m WHERE generator_id IS NULL OR prompt_id IS NULL OR image_id IS DISTINCT FROM generator_id || '#' || prompt_id || '#' || pool_seed || '#' || printf('%04d', idx) GROUP BY image_id""",
 )
 def v6(spark, sf):
-    m = read(spark, sf, "manifest")
+    """Ids that are not those of their parts: tuning images with a shifted index are added, since the table has none."""
+    m = read(spark, sf, "manifest").select("image_id", "generator_id", "prompt_id", "pool_seed", "idx", "kind")
+    m = m.unionByName(m.where("kind = 'tune'").withColumn("idx", (F.col("idx") + 1).cast("int")))
     return m.where(~m["image_id"].eqNullSafe(X.image_id(m["generator_id"], m["prompt_id"], m["pool_seed"], m["idx"]))).select("image_id").distinct()
 
 
-@query("plan_pools", "SELECT kind, prompt_id, pool_seed, (unnest(range(1, len(dishes) + 1)) - 1)::INT AS idx, unnest(dishes) AS dish FROM pool_specs")
-def pool_plan(spark, sf):
+@query("plan_pool_items", "SELECT kind, prompt_id, pool_seed, (unnest(range(1, len(dishes) + 1)) - 1)::INT AS idx, unnest(dishes) AS dish FROM pool_specs")
+def pool_items(spark, sf):
     p = read(spark, sf, "pool_specs")
     return p.select("kind", "prompt_id", "pool_seed", F.posexplode("dishes").alias("idx", "dish"))
 
 
-@query("t8_event_replies", "SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events")
+@query(
+    "plan_prompts",
+    """WITH c AS (SELECT DISTINCT country FROM vocab WHERE country IS NOT NULL UNION ALL SELECT 'GLOBAL'),
+    f AS (SELECT * FROM (VALUES ('cuisine', 'A', 'A photo of {domain}{country}'), ('cuisine', 'B', 'People enjoying {domain}{country}'), ('landmark', 'A', 'A photo of {domain}{country}'), ('landmark', 'B', 'People enjoying {domain}{country}')) t(domain, template, form))
+    SELECT lower(replace(country, ' ', '_')) || '-' || domain || '-' || template AS prompt_id, replace(replace(form, '{domain}', domain), '{country}', CASE WHEN country = 'GLOBAL' THEN '' ELSE ' from ' || country END) AS text,
+        country, domain, template FROM c CROSS JOIN f""",
+)
+def plan_prompts(spark, sf):
+    return K.prompt_grid(read(spark, sf, "vocab"), "country", ["cuisine", "landmark"], {"A": "A photo of {domain}{country}", "B": "People enjoying {domain}{country}"})
+
+
+@query(
+    "plan_pools",
+    """WITH p AS (SELECT prompt_id, row_number() OVER (ORDER BY prompt_id) - 1 AS i FROM (SELECT DISTINCT prompt_id FROM manifest)),
+    k AS (SELECT * FROM (VALUES ('main', 0, 16), ('known', 500000, 4), ('tune', 900000, 4)) t(kind, base, pools))
+    SELECT kind, prompt_id, j::INT AS pool, (base + 1000 * i + j)::BIGINT AS pool_seed, 64 AS n FROM p CROSS JOIN k CROSS JOIN (SELECT unnest(range(0, 16)) AS j) WHERE j < pools""",
+)
+def plan_pools(spark, sf):
+    prompts = read(spark, sf, "manifest").select("prompt_id").distinct()
+    return K.pool_plan(prompts, {"main": (0, 16), "known": (500_000, 4), "tune": (900_000, 4)}, 64)
+
+
+_RECORDS = "(SELECT country, dish AS name, gt_label AS p31, license AS p279, url AS p361, dish_id AS p527, CASE WHEN gt_in_cspace THEN path END AS title FROM photos)"
+_FILLED = " + ".join(f"(CASE WHEN trim(coalesce({c}, '')) IN ('', 'None', '[]', 'nan') THEN 0.0 ELSE 1.0 END)" for c in ("p31", "p279", "p361", "p527"))
+_PROMINENCE = f"""SELECT country, name, max((({_FILLED}) / 4 + CASE WHEN trim(coalesce(title, '')) IN ('', 'None', '[]', 'nan') THEN 0.0 ELSE 1.0 END) / 2) AS prominence
+    FROM {_RECORDS} r WHERE name IS NOT NULL AND name NOT IN ('', 'None') GROUP BY ALL"""
+
+
+def _records(spark, sf):
+    p = read(spark, sf, "photos")
+    return p.select("country", F.col("dish").alias("name"), F.col("gt_label").alias("p31"), F.col("license").alias("p279"), F.col("url").alias("p361"), F.col("dish_id").alias("p527"), F.when(F.col("gt_in_cspace"), F.col("path")).alias("title"))
+
+
+@query("kb_prominence", _PROMINENCE)
+def kb(spark, sf):
+    return K.kb_prominence(_records(spark, sf), ["p31", "p279", "p361", "p527"], "title", "name", "country")
+
+
+@query("kb_rekeyed")
+def kb_rekeyed(spark, sf):
+    p = K.kb_prominence(_records(spark, sf), ["p31", "p279", "p361", "p527"], "title", "name", "country")
+    return rounded(K.rekeyed_prominence(p, "name", "prominence", ["country"]))
+
+
+#: Adjectives of the countries of the test tables.
+PEOPLE = {"marovian": "Marovia", "belucarran": "Belucarra", "teshkari": "Teshkara", "sevranese": "Sevrana", "ondrezian": "Ondrezia", "itoruwan": "Itoruwa", "kulamban": "Kulamba", "halvenmarker": "Halvenmark"}
+
+
+@query("t7_matched_labels")
+def t7(spark, sf):
+    """Every typed label matched to the vocabulary by the first of the five rules."""
+    return K.match_labels(read(spark, sf, "reader_labels"), "raw", read(spark, sf, "vocab"), "name", "country", PEOPLE)
+
+
+_KEYS_SQL = f"keys AS (SELECT DISTINCT {norm_sql('name')} AS k FROM vocab WHERE name IS NOT NULL)"
+_BAG = "list_aggregate(list_sort([CASE WHEN length(w) > 3 AND w LIKE '%s' THEN w[:-2] ELSE w END for w in string_split({}, ' ')]), 'string_agg', ' ')"
+
+
+@query(
+    "t7_rules_by_name",
+    f"""WITH {_KEYS_SQL}, d AS (SELECT DISTINCT label AS raw, {norm_sql("label")} AS n FROM reader_labels WHERE label IS NOT NULL),
+    b AS (SELECT {_BAG.format("k")} AS bag, count(*) AS c, min(k) AS k FROM keys GROUP BY bag HAVING count(*) = 1)
+    SELECT raw, CASE WHEN k1.k IS NOT NULL THEN k1.k ELSE b.k END AS matched, CASE WHEN k1.k IS NOT NULL THEN 1 ELSE 4 END AS rule
+    FROM d LEFT JOIN keys k1 ON k1.k = d.n LEFT JOIN b ON b.bag = {_BAG.format("d.n")} WHERE k1.k IS NOT NULL OR b.k IS NOT NULL""",
+)
+def t7_rules(spark, sf):
+    """The rules that compare whole names, on the readers' labels."""
+    found = K.match_labels(read(spark, sf, "reader_labels"), "label", read(spark, sf, "vocab"), "name", "country", {})
+    return found.where("rule IN (1, 4)").select(F.col("label").alias("raw"), "matched", "rule")
+
+
+@query(
+    "t8_replies",
+    r"""WITH r AS (SELECT vocab_id, name, CASE vocab_id % 5 WHEN 0 THEN 'Sure: {"dish": "' || name || '", "country": "' || country || '"} as asked {"dish": "no"}' WHEN 1 THEN '{"dish": 5, "country": null}'
+        WHEN 2 THEN '{"dish": "unknown", "country": "' || country || '"}' WHEN 3 THEN 'no idea' ELSE '```json {"dish": "' || name || '", } ```' END AS reply FROM vocab WHERE name IS NOT NULL AND country IS NOT NULL)
+    SELECT vocab_id, CASE WHEN vocab_id % 5 = 0 THEN json_extract_string(regexp_extract(reply, '\{.*?\}'), '$.dish') END AS dish,
+        CASE WHEN vocab_id % 5 IN (0, 2) THEN json_extract_string(regexp_extract(reply, '\{.*?\}'), '$.country') END AS country FROM r""",
+)
 def t8(spark, sf):
-    return read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    """The first JSON of replies that are whole, of another type, unknown, without JSON, or broken."""
+    v = read(spark, sf, "vocab").where("name IS NOT NULL AND country IS NOT NULL")
+    reply = F.expr("""CASE vocab_id % 5 WHEN 0 THEN concat('Sure: {"dish": "', name, '", "country": "', country, '"} as asked {"dish": "no"}') WHEN 1 THEN '{"dish": 5, "country": null}'
+        WHEN 2 THEN concat('{"dish": "unknown", "country": "', country, '"}') WHEN 3 THEN 'no idea' ELSE concat('```json {"dish": "', name, '", } ```') END""")
+    r = v.select("vocab_id", reply.alias("reply"))
+    return r.select("vocab_id", X.json_field(F.col("reply"), "dish").alias("dish"), X.json_field(F.col("reply"), "country").alias("country"))
 
 
 @query(
@@ -197,16 +311,17 @@ def t1u(spark, sf):
     return read(spark, sf, "photos").where("dish IS NOT NULL").select("dish").distinct().select("dish", X.normalize("dish").alias("norm"))
 
 
-@query(
-    "t3_one_edit_names",
-    """WITH n AS (SELECT vocab_id AS i, name AS n FROM vocab WHERE name IS NOT NULL) SELECT a.i AS a, b.i AS b FROM n a JOIN n b ON a.i < b.i AND abs(length(a.n) - length(b.n)) <= 1 WHERE damerau_levenshtein(a.n, b.n) = 1""",
-)
+_EDITED = """WITH v AS (SELECT vocab_id, regexp_replace(name, '[^ -~]', 'e', 'g') AS name FROM vocab WHERE name IS NOT NULL) SELECT vocab_id, name, unnest([name, substr(name, 2, 1) || substr(name, 1, 1) || substr(name, 3), substr(name, 1, 2) || substr(name, 4), name || 'x', 'q' || substr(name, 2), 'qz' || substr(name, 3),
+    substr(name, 3, 1) || substr(name, 2, 1) || substr(name, 1, 1) || substr(name, 4)]) AS other FROM v"""
+
+
+@query("t3_one_edit_names", f"WITH e AS ({_EDITED}) SELECT DISTINCT vocab_id, other, damerau_levenshtein(name, other) = 1 AS one FROM e")
 def t3(spark, sf):
-    """Names of the fixed reference list that are one edit apart."""
-    n = read(spark, sf, "vocab").where("name IS NOT NULL").select(F.col("vocab_id").alias("i"), F.col("name").alias("n"))
-    a, b = n.select(F.col("i").alias("a"), F.col("n").alias("x")), n.select(F.col("i").alias("b"), F.col("n").alias("y"))
-    pairs = a.join(b, (F.col("a") < F.col("b")) & (F.abs(F.length("x") - F.length("y")) <= 1))
-    return pairs.where(X.one_edit(F.col("x"), F.col("y"))).select("a", "b")
+    """Names of the list beside edited ones: the same, two letters swapped, one lost, added, replaced, two replaced, two swapped over a third."""
+    n = read(spark, sf, "vocab").where("name IS NOT NULL").select("vocab_id", F.regexp_replace("name", "[^ -~]", "e").alias("name"))
+    x = "array(name, concat(substr(name, 2, 1), substr(name, 1, 1), substr(name, 3)), concat(substr(name, 1, 2), substr(name, 4)), concat(name, 'x'), concat('q', substr(name, 2)), concat('qz', substr(name, 3)), concat(substr(name, 3, 1), substr(name, 2, 1), substr(name, 1, 1), substr(name, 4)))"
+    e = n.select("vocab_id", "name", F.explode(F.expr(x)).alias("other"))
+    return e.select("vocab_id", "other", X.one_edit(F.col("name"), F.col("other")).alias("one")).distinct()
 
 
 @query(
@@ -238,9 +353,24 @@ def t14(spark, sf):
     return j.withColumn("r", F.row_number().over(Window.partitionBy("country", "name").orderBy("p", "decoy"))).where("r <= 3").select("country", "name", "decoy")
 
 
-@query("io6_vocabulary", "SELECT country, name, kb_prominence FROM vocab WHERE kb_prominence >= 0.5 AND NOT isnan(kb_prominence)")
+@query(
+    "io6_vocabulary",
+    "SELECT country, name, max(kb_prominence) AS kb_prominence FROM vocab WHERE country IS NOT NULL AND name IS NOT NULL AND kb_prominence >= 0.5 AND NOT isnan(kb_prominence) GROUP BY ALL",
+)
 def io6(spark, sf):
-    return read(spark, sf, "vocab").where("kb_prominence >= 0.5 AND NOT isnan(kb_prominence)").select("country", "name", "kb_prominence")
+    """The list written as one nested document and read from it."""
+    from plumbline.runtime import shared_dir
+
+    v = read(spark, sf, "vocab").where("country IS NOT NULL AND name IS NOT NULL")
+    known = v.where("kb_prominence IS NOT NULL AND NOT isnan(kb_prominence)")
+    names = v.groupBy("country").agg(F.collect_set("name").alias("names"))
+    ranks = known.groupBy("country", "name").agg(F.max("kb_prominence").alias("p")).groupBy("country").agg(F.map_from_entries(F.collect_list(F.struct("name", "p"))).alias("ranks"))
+    both = names.join(ranks, "country", "left")
+    # The reference list is one document by nature, so one row holds it.
+    doc = both.agg(F.map_from_entries(F.collect_list(F.struct("country", "names"))).alias("vocab"), F.map_from_entries(F.collect_list(F.struct("country", "ranks"))).alias("kb_prominence"))
+    path = f"{shared_dir(spark)}/plumbline/vocabulary-{uuid.uuid4().hex}"
+    doc.coalesce(1).write.json(path)
+    return read_vocabulary(spark, path, 0.5)
 
 
 @query("names_distinct", "SELECT DISTINCT dish AS name FROM manifest WHERE dish IS NOT NULL AND dish NOT IN ('None', '')")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -229,7 +230,7 @@ def d24(spark, sf):
     from plumbline.functions.stats import hypergeom_below
 
     n = items(spark, sf).groupBy("pool_id").agg(F.count("*").alias("n"), F.count_if(F.col("idx") % 2 == 0).alias("kept"))
-    chance = F.udf(lambda n, kept: float(hypergeom_below(n, kept, min(16, n), 8)), "double")
+    chance = F.pandas_udf(lambda n, kept: pd.Series([hypergeom_below(int(a), int(b), min(16, int(a)), 8) for a, b in zip(n, kept)], dtype=float), "double")
     return rounded(n.groupBy("n", "kept").agg(F.count("*").alias("pools")).withColumn("lacking", chance("n", "kept")))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from plumbline.catalog import query
 from plumbline.operators import selection as S
 from plumbline.plans.base import ITEMS_SQL, items, rounded, vectors
+from plumbline.runtime import cached
 
 RANK = "row_number() OVER (PARTITION BY pool_id ORDER BY score DESC NULLS LAST, idx)"
 
@@ -57,9 +60,7 @@ _UNIT = [x / sum(y * y for y in DIRECTION) ** 0.5 for x in DIRECTION]
     SELECT pool_id, idx FROM (SELECT *, {RANK} AS r FROM v) WHERE r <= 8""",
 )
 def k5(spark, sf):
-    v = vectors(spark, sf)
-    along = v.withColumn("along", F.round(S.dot(F.col("embedding"), F.array(*map(F.lit, _UNIT))), 9))
-    return S.top_k(along, 8, score="along").select("pool_id", "idx")
+    return S.random_direction(vectors(spark, sf), 8, _UNIT).select("pool_id", "idx")
 
 
 @query(
@@ -99,7 +100,8 @@ def k10(spark, sf):
 @query(
     "k18_best_of_n",
     f"""WITH {ITEMS_SQL}, d AS {drawn('bon', 3)},
-    s AS (SELECT d.*, z.size FROM d CROSS JOIN (SELECT unnest([20, 32, 48]) AS size) z WHERE r <= z.size),
+    n AS (SELECT pool_id, count(*) AS n FROM items GROUP BY pool_id),
+    s AS (SELECT d.*, z.size FROM d JOIN n ON n.pool_id = d.pool_id CROSS JOIN (SELECT unnest([20, 32, 48]) AS size) z WHERE r <= z.size AND (z.size < n OR (z.size = n AND d.draw = 1))),
     t AS (SELECT *, row_number() OVER (PARTITION BY pool_id, size, draw ORDER BY score DESC NULLS LAST, idx) AS k FROM s)
     SELECT pool_id, size, round(avg(score), 6) AS mean_score FROM t WHERE k <= 16 GROUP BY pool_id, size""",
 )
@@ -111,7 +113,8 @@ def k18(spark, sf):
 @query(
     "k18_slope",
     f"""WITH {ITEMS_SQL}, d AS {drawn('bon', 3)},
-    s AS (SELECT d.*, z.size FROM d CROSS JOIN (SELECT unnest([20, 32, 48]) AS size) z WHERE r <= z.size),
+    n AS (SELECT pool_id, count(*) AS n FROM items GROUP BY pool_id),
+    s AS (SELECT d.*, z.size FROM d JOIN n ON n.pool_id = d.pool_id CROSS JOIN (SELECT unnest([20, 32, 48]) AS size) z WHERE r <= z.size AND (z.size < n OR (z.size = n AND d.draw = 1))),
     t AS (SELECT *, row_number() OVER (PARTITION BY pool_id, size, draw ORDER BY score DESC NULLS LAST, idx) AS k FROM s),
     m AS (SELECT pool_id, country, size, avg(score) AS y FROM t WHERE k <= 16 GROUP BY ALL)
     SELECT country, round(regr_slope(y, log2(size / 16.0)), 6) AS slope FROM m GROUP BY country""",
@@ -172,21 +175,22 @@ def k6(spark, sf):
     return S.run_selectors(vectors(spark, sf), 2, [("mmr", 0.7)]).select("pool_id", "rank", "idx")
 
 
+def _frontier(spark, sf):
+    """Every configuration's contrasts and gains on the pools of vectors, labels in twenty bands, with the random baseline."""
+    v = vectors(spark, sf).withColumn("judge", F.col("score") + F.col("label") / 20.0)
+    return S.frontier_rows(v, S.run_selectors(v, 8, GRID), ["family", "param"], 8, 8)
+
+
+@query("k15_frontier_rows")
+def k15f(spark, sf):
+    """Delta, emb_delta and both gains of all selectors, and a random one."""
+    return rounded(cached(spark, ("frontier", sf), lambda: _frontier(spark, sf)))
+
+
 @query("k17_choose_on_tuning")
 def k17(spark, sf):
-    """The configuration that keeps the most judge gain within the diversity margin, on the pools of vectors."""
-    from plumbline.operators.diversity import vendi
-
-    v = vectors(spark, sf).withColumn("judge", F.col("score") + F.col("label") / 20.0).withColumn("country", F.col("pool_id") % 2)
-    sel = S.run_selectors(v, 8, GRID)
-    gain = S.evaluate(v, sel, ["family", "param"])
-    look = vendi(sel.join(v.select("pool_id", "idx", "embedding"), ["pool_id", "idx"]), ["pool_id", "family", "param"])
-    base = look.where("family = 'topk'").select("pool_id", F.col("log_vendi").alias("base"))
-    rows = look.join(base, "pool_id").join(gain, ["pool_id", "family", "param"]).select(
-        F.concat_ws("|", "family", "param").alias("config"),
-        F.concat_ws("|", "family", "param").alias("grid_pos"),
-        (F.col("pool_id") % 2).alias("country"),
-        (F.col("log_vendi") - F.col("base")).alias("delta"),
-        F.col("std_gain").alias("gain"),
-    )
-    return S.choose_on_tuning(rows, -0.10536)
+    """The configuration that keeps the most judge gain within the diversity margin; ties keep the order of the grid."""
+    places = spark.createDataFrame([(f, float(p), n) for n, (f, p) in enumerate(GRID)], "family string, param double, grid_pos int")
+    rows = cached(spark, ("frontier", sf), lambda: _frontier(spark, sf)).join(F.broadcast(places), ["family", "param"])
+    rows = rows.select(F.concat_ws("|", "family", "param").alias("config"), "grid_pos", (F.col("pool_id") % 2).alias("country"), F.col("emb_delta").alias("delta"), F.col("std_gain").alias("gain"))
+    return rounded(S.choose_on_tuning(rows, math.log(0.9)))

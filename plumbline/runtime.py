@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,17 +45,44 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: The tables written by this process and not yet removed, and those of them that ``cached`` may give again.
+_WRITTEN: list[str] = []
+_CACHED: dict[tuple, DataFrame] = {}
+
+
 def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back, which cuts the lineage.
 
     Unlike a cached block the files survive the loss of executors, and unlike an RDD checkpoint they are
-    compressed columns from which later scans prune.
+    compressed columns from which later scans prune. The files stay until ``clean``, since lazy results may still read them.
     """
     path = f"{shared_dir(df.sparkSession)}/plumbline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cached(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table of a key, written when first asked for in this session and read again later, until ``clean``. The key names all that
+    the table depends on; its sources must not change in the meantime."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _CACHED:
+        _CACHED[full] = materialize(build(), str(key[0]))
+    return _CACHED[full]
+
+
+def clean(spark: SparkSession) -> int:
+    """Removes the tables that ``materialize`` wrote in this process; call it when no result is going to be read any more. Their number."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    removed = len(_WRITTEN)
+    for path in _WRITTEN:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    _WRITTEN.clear()
+    _CACHED.clear()
+    return removed
+
+
 def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hints a broadcast if ``rows`` (a proven bound) times ``row_bytes`` stays below the limit; else leaves the
     choice to the optimizer."""
