@@ -225,6 +225,25 @@ def modal_label(df: DataFrame, group: list[str], label: str = "label") -> DataFr
     return c.where("r = 1").select(*group, F.col(label).alias("modal"), (F.col("c") / F.col("n")).alias("share"))
 
 
+def country_cosines(df: DataFrame, country: str, vector: str) -> DataFrame:
+    """``(country, own, other)``: the mean cosine of a country's items with its other items, and with the items of all other countries.
+
+    The mean of inner products is the inner product of sums, so sums by country and dimension suffice; null and zero vectors are left out.
+    """
+    x = F.posexplode(vector).alias("at", "x")
+    norm = F.sqrt(F.aggregate(F.transform(vector, lambda a: a * a), F.lit(0.0), lambda s, a: s + a))
+    units = df.where(F.col(vector).isNotNull()).withColumn("_norm", norm).where("_norm > 0")
+    n = units.groupBy(country).agg(F.count("*").cast("double").alias("n"))
+    total = n.agg(F.sum("n").alias("all"))
+    s = units.select(country, "_norm", x).select(country, "at", (F.col("x") / F.col("_norm")).alias("x"))
+    s = s.groupBy(country, "at").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    s = s.withColumn("t", F.sum("s").over(Window.partitionBy("at")))
+    sums = s.groupBy(country).agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum("q").alias("q"), F.sum(F.col("s") * (F.col("t") - F.col("s"))).alias("st"))
+    j = sums.join(n, country).crossJoin(F.broadcast(total))
+    own = F.when(F.col("n") > 1, (F.col("ss") - F.col("q")) / (F.col("n") * (F.col("n") - 1)))
+    return j.select(country, own.alias("own"), F.when(F.col("all") > F.col("n"), F.col("st") / (F.col("n") * (F.col("all") - F.col("n")))).alias("other"))
+
+
 # ---- differences between groups
 
 
