@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 import pandas as pd
@@ -17,17 +18,20 @@ from plumbline.operators.selection import random_k, top_k
 LOW_MARGIN, HIGH_MARGIN, MAX_LACKING = math.log(0.9), math.log(1.1), 0.02
 
 
-def pool_contrast(items: DataFrame, k: int, draws: int, keys: list[str] = ["country", "template"], salt: str = "null") -> DataFrame:  # noqa: B006
+def pool_contrast(
+    items: DataFrame, k: int, draws: int, keys: list[str] = ["country", "template"], salt: str = "null", null: Callable[[DataFrame, int, int, str], DataFrame] = random_k  # noqa: B006
+) -> DataFrame:
     """``(pool_id, keys, delta, selected, null_mean, null_sd, z)`` of each pool: log Vendi of the top k's labels less the mean over matched random k's.
 
     Both sides hold k labelled items, so no rarefaction is needed: pools of fewer than k items, and pools with an item without a label, have
-    no contrast (``delta`` and what it comes from are null); for those with labels missing use ``endpoint``.
+    no contrast (``delta`` and what it comes from are null); for those with labels missing use ``endpoint``. ``null`` gives the selections to
+    compare with, as rows with a ``draw``, from (items, k, draws, salt).
     """
     whole = items.groupBy("pool_id", *keys).agg(((F.count("*") >= k) & (F.count("*") == F.count("label"))).alias("whole"))
     sel = label_entropy(top_k(items, k), ["pool_id", *keys]).select("pool_id", *keys, F.col("entropy").alias("selected"))
-    null = label_entropy(random_k(items, k, draws, salt), ["pool_id", "draw"])
-    null = null.groupBy("pool_id").agg(F.avg("entropy").alias("null_mean"), F.stddev_samp("entropy").alias("null_sd"))
-    either = whole.join(sel, ["pool_id", *keys], "left").join(null, "pool_id", "left")
+    drawn = label_entropy(null(items, k, draws, salt), ["pool_id", "draw"])
+    drawn = drawn.groupBy("pool_id").agg(F.avg("entropy").alias("null_mean"), F.stddev_samp("entropy").alias("null_sd"))
+    either = whole.join(sel, ["pool_id", *keys], "left").join(drawn, "pool_id", "left")
     ok = [F.when(F.col("whole"), F.col(c)).alias(c) for c in ("selected", "null_mean", "null_sd")]
     delta = F.col("selected") - F.col("null_mean")
     return either.select("pool_id", *keys, *ok).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -65,3 +65,61 @@ def differing(a: DataFrame, b: DataFrame, key: list[str], value: str, tolerance:
     """Keys whose values differ by more than a tolerance, or that one side lacks: the reproduction check."""
     j = a.select(*key, F.col(value).alias("va")).join(b.select(*key, F.col(value).alias("vb")), key, "full")
     return j.where(F.col("va").isNull() | F.col("vb").isNull() | (F.abs(F.col("va") - F.col("vb")) > tolerance))
+
+
+def required(df: DataFrame, bad: Column, message: Column) -> DataFrame:
+    """The rows, of which a bad one raises when it is computed."""
+    ok = F.when(~F.coalesce(bad, F.lit(False)), True).otherwise(F.raise_error(message).cast("boolean"))
+    return df.where(ok)
+
+
+def items_with_scores(items: DataFrame, scores: DataFrame, key: str, text: str, select_text: str) -> DataFrame:
+    """Items with their score. An item without one, or scored on another text, raises."""
+    s = scores.select(key, "score", F.col(text).alias("_text"), F.lit(True).alias("_has"))
+    j = items.join(s, key, "left")
+    j = required(j, F.col("_has").isNull(), F.concat(F.lit("no score for "), F.col(key)))
+    return required(j, ~F.col("_text").eqNullSafe(F.col(select_text)), F.concat(F.lit("scored on another text: "), F.col(key))).drop("_text", "_has")
+
+
+def items_with_tags(items: DataFrame, tags: DataFrame, key: str) -> DataFrame:
+    """Items with their tags; an item without raises."""
+    j = items.join(tags.withColumn("_has", F.lit(True)), key, "left")
+    return required(j, F.col("_has").isNull(), F.concat(F.lit("no tag for "), F.col(key))).drop("_has")
+
+
+def items_with_verification(items: DataFrame, verify: DataFrame, key: str, known: Column, threshold: float = 0.5) -> DataFrame:
+    """Items with ``keep``: of known ones the verifier's ``kept``, or if it has none whether ``p_yes`` reaches the threshold; a known item without
+    verification raises. Others are kept."""
+    j = items.withColumn("_known", known).join(verify.select(key, "kept", "p_yes", F.lit(True).alias("_has")), key, "left")
+    j = required(j, F.col("_known") & F.col("_has").isNull(), F.concat(F.lit("no verification for "), F.col(key)))
+    keep = F.when(F.col("_known"), F.coalesce("kept", F.col("p_yes") >= threshold, F.lit(False))).otherwise(True)
+    return j.withColumn("keep", keep).drop("_known", "_has", "kept", "p_yes")
+
+
+def text_mismatches(items: DataFrame, scores: DataFrame, key: str, text: str, select_text: str) -> DataFrame:
+    """``(key, select_text, text)`` of the items that were scored on another text."""
+    j = items.select(key, select_text).join(scores.select(key, F.col(text).alias("scored_text")), key)
+    return j.where(~F.col("scored_text").eqNullSafe(F.col(select_text)))
+
+
+def holds_all(have: DataFrame, wanted: DataFrame, key: str) -> bool:
+    """Whether every wanted key is there: the test by which a finished stage is skipped."""
+    return wanted.join(have.select(key), key, "left_anti").limit(1).count() == 0
+
+
+def mixed_sources(labels: DataFrame, group: str, source: str) -> DataFrame:
+    """``(group, sources)`` of the groups whose labels come from several sources."""
+    return labels.groupBy(group).agg(F.countDistinct(source).alias("sources")).where("sources > 1")
+
+
+def grid_differences(planned: DataFrame, found: DataFrame, config: list[str]) -> DataFrame:
+    """``(config, side)``: configurations that only the plan or only the results have; null parameters equal each other."""
+    mark = lambda df, name: df.select(*config).distinct().withColumn("side", F.lit(name))
+    both = mark(planned, "planned").unionByName(mark(found, "found"))
+    return both.groupBy(*config).agg(F.count("*").alias("n"), F.min("side").alias("side")).where("n = 1").select(*config, "side")
+
+
+def blank_ids(df: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is null, blank, or has another number of parts than four."""
+    c = F.col(key)
+    return df.where(c.isNull() | (F.trim(c) == "") | (F.size(F.split(c, "#")) != 4) | F.exists(F.split(c, "#"), lambda x: F.trim(x) == ""))

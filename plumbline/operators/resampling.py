@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +64,25 @@ def bootstrap_ratio(df: DataFrame, cell: list[str], cluster: str, num: str, den:
     return point.crossJoin(reps.agg(F.percentile("r", 0.025).alias("lo"), F.percentile("r", 0.975).alias("hi")))
 
 
+def bootstrap_any(df: DataFrame, cell: list[str], unit: str, value: str, statistic: Callable[[pd.Series], float], draws: int, salt: str = "any") -> DataFrame:
+    """``(estimate, lo, hi)`` of any statistic of a column of values, given as a function of a pandas Series; a resample's values meet in one task, so
+    the units should be pools or other aggregates."""
+
+    @F.pandas_udf("double")
+    def stat(v: pd.Series) -> float:
+        return float(statistic(v))
+
+    point = df.agg(stat(F.col(value).cast("double")).alias("estimate"))
+    reps = resample(df, cell, unit, draws, salt).groupBy("draw").agg(stat(F.col(value).cast("double")).alias("s"))
+    return point.crossJoin(reps.agg(F.percentile("s", 0.025).alias("lo"), F.percentile("s", 0.975).alias("hi")))
+
+
+def hashed_subset(df: DataFrame, group: list[str], item: str, size: int, salt: str = "subset") -> DataFrame:
+    """A random ``size`` of each group's items, by hash."""
+    w = Window.partitionBy(*group).orderBy(priority(salt, *group, item), item)
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size).drop("_r")
+
+
 def half_samples(df: DataFrame, cell: list[str], unit: str, draws: int, salt: str = "half") -> DataFrame:
     """The units of each cell's random half, rounded up, without replacement, in each draw."""
     d = with_draws(df.withColumn("_m", F.count("*").over(Window.partitionBy(*cell))), draws)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from plumbline.runtime import materialize, rank_score
 
 #: A greedy selector holds one pool in one task. Larger pools are refused rather than cut: use ``stratified_top_k``, which has no such limit.
-MAX_POOL = 50_000
+MAX_POOL = 20_000
 
 
 def by_score(pool: str | list[str], score: str = "score", idx: str = "idx"):
@@ -162,17 +162,27 @@ def dpp(scores: np.ndarray, e: np.ndarray, k: int, alpha: float) -> list[int]:
     return out + rest[: max(0, min(k, len(q)) - len(out))]
 
 
-def facility_location(scores: np.ndarray, e: np.ndarray, k: int, beta: float) -> list[int]:
-    """Greedy mean coverage of the pool, with a bonus for the score."""
+def facility_location(scores: np.ndarray, e: np.ndarray, k: int, beta: float, block: int = 256) -> list[int]:
+    """Greedy mean coverage of the pool, with a bonus for the score.
+
+    A gain only falls as the choice grows, so an item's last gain bounds it: only items whose bound leads are measured again. Similarities are
+    computed in blocks, so memory follows the pool's size, not its square.
+    """
     z, u = _z(scores), _unit(e)
-    sim = (u @ u.T + 1) / 2
-    cover, free, out = np.zeros(len(z)), np.ones(len(z), bool), []
-    for _ in range(min(k, len(z))):
-        gain = np.maximum(sim - cover[None], 0).mean(1) + beta * z / k
-        i = int(np.where(free, gain, -np.inf).argmax())
+    n, out, cover = len(z), [], np.zeros(len(z))
+
+    def gains(at: np.ndarray) -> np.ndarray:
+        return np.maximum((u[at] @ u.T + 1) / 2 - cover, 0).mean(1) + beta * z[at] / k
+
+    bound = np.concatenate([gains(np.arange(lo, min(lo + block, n))) for lo in range(0, n, block)]) if n else np.zeros(0)
+    for _ in range(min(k, n)):
+        fresh: set[int] = set()
+        while (i := int(bound.argmax())) not in fresh:
+            bound[i] = gains(np.array([i]))[0]
+            fresh.add(i)
         out.append(i)
-        free[i] = False
-        cover = np.maximum(cover, sim[i])
+        bound[i] = -np.inf
+        cover = np.maximum(cover, (u[i] @ u.T + 1) / 2)
     return out
 
 

@@ -58,3 +58,4 @@ def test_items_are_scored_once(spark, tmp_path):
     write("2.json", ["b", "ccc"])
     N.score_once(N.new_items(spark, str(src), "image_id string"), score, out, cp).awaitTermination(120)
     assert sorted((r["image_id"], r["score"]) for r in spark.read.parquet(out).collect()) == [("a", 1), ("b", 1), ("ccc", 3)]
+    assert spark.read.parquet(out).select("batch").distinct().count() == 2
