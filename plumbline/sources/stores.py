@@ -153,7 +153,7 @@ def write_result(document: dict, path: str) -> None:
 
 def read_results(spark: SparkSession, folder: str) -> DataFrame:
     """``(file, generator, document)`` of a folder's JSON documents that name a generator; none at all is an error."""
-    docs = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("document"))
+    docs = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("document"))
     found = docs.select("file", F.get_json_object("document", "$.generator").alias("generator"), "document").where("generator IS NOT NULL")
     if not found.limit(1).count():
         raise ValueError(f"{folder}: no result document")
