@@ -18,7 +18,7 @@ MOST_CHOSEN = 5_000
 #: The rows are dealt by a hash of the item into buckets of about so many, each summarized by a tree; a tree takes so many at once.
 BUCKET_ROWS, CHUNK_ROWS = 50_000, 4_096
 #: Points that no entry absorbs are inserted so many at a time before the others try again.
-INSERT_POINTS = 64
+INSERT_POINTS = 256
 #: Dimensions that stand for one categorical column.
 HASH_DIMS = 16
 
