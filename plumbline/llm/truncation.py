@@ -72,8 +72,8 @@ def ending_features(df: DataFrame, doc_id: str, text: str, source: str, boxes: s
 
 
 def _plain(line: Column) -> Column:
-    """A line in lower case, with one sign for all numbers."""
-    return F.lower(F.regexp_replace(line, r"\p{Nd}+", "0"))
+    """A line in lower case, with one sign for all digits."""
+    return F.lower(F.translate(line, "123456789", "000000000"))
 
 
 def closing_openings(docs: DataFrame, text: str, features: DataFrame) -> DataFrame:
@@ -101,7 +101,8 @@ def closing_openings(docs: DataFrame, text: str, features: DataFrame) -> DataFra
     counted = features.agg(F.count("*").alias("pages"), F.sum("lines").alias("lines"))
     whole = _plain(F.regexp_replace(F.col(text).cast("string"), _BROKEN, "$1\u0001"))
     pieces = docs.select(F.explode(F.split(whole, _PIECES)).alias("p"))
-    words = pieces.select(F.posexplode(F.split(F.trim("p"), r"\s+")).alias("j", "w"), F.split(F.trim("p"), r"\s+").alias("ws"))
+    # A piece has no white space but blanks, mostly single ones: splitting at one needs no pattern.
+    words = pieces.select(F.split(F.trim("p"), " ").alias("ws")).select("ws", F.posexplode("ws").alias("j", "w"))
     words = words.select("j", "w", F.concat_ws(" ", "w", F.get("ws", F.col("j") + 1)).alias("two"))
     words = words.select("j", F.explode(F.when(F.col("w") == F.col("two"), F.array("w")).otherwise(F.array("w", "two"))).alias("met"))
     every = words.join(bounded_broadcast(ending, int(3 / OPENING_SHARE), 64), F.col("met") == F.col("opening"))
