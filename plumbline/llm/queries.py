@@ -72,7 +72,11 @@ _P5_SQL = """
 
 
 def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "reader_labels").dropDuplicates()
+    # Copies are equal in every column: rows with the same two hashes and the same columns null. Only these and the two fields are shuffled.
+    rows = read(spark, sf_dir, "reader_labels")
+    nulls = sum((F.when(F.col(c).isNull(), 1 << k).otherwise(0) for k, c in enumerate(rows.columns)), F.lit(0))
+    keys = [F.xxhash64(*rows.columns).alias("h1"), F.xxhash64(F.lit("copy"), *reversed(rows.columns)).alias("h2"), nulls.alias("nulls")]
+    rows = rows.select("label", "country", *keys).groupBy("h1", "h2", "nulls").agg(F.first("label").alias("label"), F.first("country").alias("country"))
     return frequency.term_frequencies(rows, {"label": frequency.letter_digit_terms, "country": frequency.whole_value})
 
 

@@ -11,8 +11,8 @@ from plumbline.runtime import bounded_broadcast, materialize, rank_score
 MAX_HOT_GROUPS = 10_000
 #: A group of fewer rows is never hot.
 HOT_ROWS = 5_000
-#: Score ranges, and hash slices of each range, into which a hot group is cut.
-RANGES, SLICES = 15, 4
+#: Score ranges, and least number of hash slices of each range, into which a hot group is cut; more slices for a group of more rows than so many a slice.
+RANGES, SLICES, SLICE_ROWS = 15, 4, 500_000
 
 
 def top_n_per_group(
@@ -59,7 +59,9 @@ def top_n_per_group(
     hot = rows.join(keys, rows["g"].eqNullSafe(keys["g"]), "left_semi")
     # Bounds of equal shares of each hot group, nearly exact; they only steer the balance, not the result.
     shares = F.array(*[F.lit(k / (RANGES + 1)) for k in range(1, RANGES + 1)])
-    cuts = hot.groupBy(F.col("g").alias("cg")).agg(F.percentile_approx("s", shares, F.lit(1000)).alias("cuts"))
+    cuts = hot.groupBy(F.col("g").alias("cg")).agg(F.percentile_approx("s", shares, F.lit(1000)).alias("cuts"), F.count("*").alias("n_hot"))
+    slices = F.greatest(F.lit(SLICES), F.ceil(F.col("n_hot") / (RANGES * SLICE_ROWS)))
+    cuts = cuts.select("cg", "cuts", slices.alias("slices"))
     cuts = bounded_broadcast(cuts, MAX_HOT_GROUPS, 64 + 8 * RANGES)
     salted = hot.join(cuts, F.col("g").eqNullSafe(F.col("cg"))).select(
         "g",
@@ -67,7 +69,7 @@ def top_n_per_group(
         "s",
         "t",
         F.size(F.filter("cuts", lambda c: c > F.col("s"))).alias("range"),
-        F.pmod(F.xxhash64("i", "t"), F.lit(SLICES)).alias("slice"),
+        F.pmod(F.xxhash64("i", "t"), F.col("slices")).alias("slice"),
     )
     by_salt = Window.partitionBy("g", "range", "slice").orderBy(*order)
     merged = Window.partitionBy("g").orderBy(*order)
