@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -127,38 +127,57 @@ def rarefaction(df: DataFrame, group: list[str], m: int, label: str = "label") -
 # ---- embeddings
 
 
+#: A group of at most so many vectors is measured in one task from its own kernel.
+SMALL_GROUP = 1_000
+
+
+def _kernel_entropy(gram: np.ndarray, n: int) -> float:
+    w = np.linalg.eigvalsh(gram) / n
+    w = w[w > 1e-12]
+    return float(-(w * np.log(w)).sum())
+
+
+def _row(group: list[str], key: tuple, values: dict) -> pd.DataFrame:
+    """One row of plain objects: a null key stays null in a column of any type."""
+    return pd.DataFrame({k: pd.Series([None if v is None or v != v else v], dtype=object) for k, v in zip(group, key)} | {k: pd.Series([v]) for k, v in values.items()})
+
+
 def vendi(df: DataFrame, group: list[str], vector: str = "embedding", order: str = "idx") -> DataFrame:
-    """``(group, n, log_vendi)`` of unit vectors.
+    """``(group, n, log_vendi)`` of unit vectors; null vectors are left out.
 
-    The eigenvalues of the similarity kernel are those of the vectors' second moment, whose size does not depend on the
-    group's: it is summed in Spark from each batch, so a group of any size stays distributed.
+    The eigenvalues of the similarity kernel are those of the vectors' second moment, so the smaller of the two matrices will do. Groups of at
+    most ``SMALL_GROUP`` vectors are measured whole. Of larger ones, whose second moment has a size that does not depend on the group's, moments are
+    summed in Spark from each batch, so a group of any size stays distributed.
     """
     kinds = dict(df.dtypes)
     keys = ", ".join(f"`{g}` {kinds[g]}" for g in group)
+    rows = df.select(*group, F.col(vector).cast("array<double>").alias(vector)).where(F.col(vector).isNotNull())
+    sizes = rows.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg((F.count("*") > SMALL_GROUP).alias("_large"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group])
+    sized = rows.join(sizes, same).select(*group, vector, "_large")
+
+    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        u = _unit(np.stack(pdf[vector]).astype(float))
+        gram = u @ u.T if len(u) <= u.shape[1] else u.T @ u
+        return _row(group, key, {"n": len(u), "log_vendi": _kernel_entropy(gram, len(u))})
 
     def moments(batches):
         for pdf in batches:
-            pdf = pdf[pdf[vector].notna()]
             for key, part in pdf.groupby(group, dropna=False):
                 u = _unit(np.stack(part[vector]).astype(float))
-                yield pd.DataFrame([(*key, len(u), (u.T @ u).ravel())], columns=[*group, "n", "m"])
-
-    parts = df.select(*group, F.col(vector).cast("array<double>").alias(vector)).mapInPandas(moments, f"{keys}, n long, m array<double>")
-    cells = parts.select(*group, "n", F.posexplode("m").alias("at", "x"))
-    sums = cells.groupBy(*group, "at").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    whole = sums.groupBy(*group).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "x"))).alias("m"))
+                yield _row(group, key, {"n": len(u), "m": (u.T @ u).ravel()})
 
     @F.pandas_udf("double")
     def entropy(n: pd.Series, m: pd.Series) -> pd.Series:
-        out = []
-        for count, x in zip(n, m):
-            d = int(round(math.sqrt(len(x))))
-            w = np.linalg.eigvalsh(np.asarray(x, float).reshape(d, d)) / count
-            w = w[w > 1e-12]
-            out.append(float(-(w * np.log(w)).sum()))
-        return pd.Series(out)
-
-    return whole.select(*group, "n", entropy("n", F.transform("m", lambda s: s["x"])).alias("log_vendi"))
+        side = [int(round(math.sqrt(len(x)))) for x in m]
+        return pd.Series([_kernel_entropy(np.asarray(x, float).reshape(d, d), count) for count, x, d in zip(n, m, side)], dtype=float)
+
+    small = sized.where("NOT _large").drop("_large").groupBy(*group).applyInPandas(whole, f"{keys}, n long, log_vendi double")
+    parts = sized.where("_large").drop("_large").mapInPandas(moments, f"{keys}, n long, m array<double>")
+    cells = parts.select(*group, "n", F.posexplode("m").alias("at", "x"))
+    sums = cells.groupBy(*group, "at").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    large = sums.groupBy(*group).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "x"))).alias("m"))
+    return small.unionByName(large.select(*group, "n", entropy("n", F.transform("m", lambda s: s["x"])).alias("log_vendi")))
 
 
 def kernel_vendi(similarity):

@@ -218,6 +218,18 @@ def test_country_cosines_equal_all_pairs(spark):
         assert r["own"] == pytest.approx((g[np.ix_(mine, mine)].sum() - n) / (n * (n - 1))) and r["other"] == pytest.approx(g[np.ix_(mine, ~mine)].mean())
 
 
+def test_vendi_of_small_and_large_groups_agree(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    rows = [(g, k, [float(x) for x in rng.normal(size=4)]) for g, n in (("a", 3), ("b", 30), (None, 5)) for k in range(n)] + [("a", 9, None)]
+    df = spark.createDataFrame(rows, "g string, idx int, embedding array<double>").repartition(3)
+    small = {r["g"]: (r["n"], r["log_vendi"]) for r in D.vendi(df, ["g"]).collect()}
+    monkeypatch.setattr(D, "SMALL_GROUP", 4)
+    mixed = {r["g"]: (r["n"], r["log_vendi"]) for r in D.vendi(df, ["g"]).collect()}
+    assert small == {k: (n, pytest.approx(v)) for k, (n, v) in mixed.items()} and small["a"][0] == 3 and small[None][0] == 5
+    u = np.stack([r[2] for r in rows if r[0] == "b"])
+    assert small["b"][1] == pytest.approx(S.log_vendi(u / np.linalg.norm(u, axis=1, keepdims=True)))
+
+
 # ---- stores, checks and written tables
 
 
