@@ -94,6 +94,44 @@ def predicted_loss(directions: DataFrame, concept: np.ndarray, group: str, vecto
     return directions.select(group, F.when(norm > 0, F.sqrt(squares) / norm).alias("loss"))
 
 
+def country_loss(
+    df: DataFrame, group: str, direction: list[float], rank: int = 16, variance: float | None = None, vector: str = "embedding"
+) -> DataFrame:
+    """``(group, rank, loss)``: the share of a scorer's direction within the span of a group's centred vectors, cut to the ``rank`` leading directions, the same
+    for all groups so that a large vocabulary does not span everything; or, as a variant, to as many as explain the share ``variance``. Directions
+    without variance never count. Counts, sums and second moments are added up in Spark from each batch, so groups may have any size."""
+    kind = dict(df.dtypes)[group]
+    w = np.asarray(direction, float)
+
+    def moments_by_group(batches):
+        for pdf in batches:
+            for key, part in pdf.groupby(group, dropna=False):
+                x = np.stack(part[vector]).astype(float)
+                flat = np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
+                yield pd.DataFrame({group: pd.Series([None if key != key else key], dtype=object), "m": [flat]})
+
+    rows = df.select(group, F.col(vector).cast("array<double>").alias(vector)).where(F.col(vector).isNotNull())
+    parts = rows.mapInPandas(moments_by_group, f"`{group}` {kind}, m array<double>").select(group, F.posexplode("m").alias("at", "x"))
+    sums = parts.groupBy(group, "at").agg(F.sum("x").alias("x")).groupBy(group).agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("m"))
+
+    @F.pandas_udf("struct<rank: int, loss: double>")
+    def within(m: pd.Series) -> pd.DataFrame:
+        out = []
+        for flat in m:
+            flat = np.asarray(flat, float)
+            d = len(w)
+            n, s, q = flat[0], flat[1 : d + 1], flat[d + 1 :].reshape(d, d)
+            values, vectors = np.linalg.eigh(q - np.outer(s, s) / n)
+            values, vectors = values[::-1], vectors[:, ::-1]
+            real = int((values > 1e-16 * max(values[0], 1e-300)).sum()) if values[0] > 1e-12 * max(np.trace(q), 1e-300) else 0
+            keep = rank if variance is None else int(np.searchsorted(np.cumsum(values[:real]) / values[:real].sum(), variance) + 1) if real else 0
+            keep = min(keep, real)
+            out.append((keep, float(np.linalg.norm(vectors[:, :keep].T @ w) / (np.linalg.norm(w) + 1e-12))))
+        return pd.DataFrame(out, columns=["rank", "loss"])
+
+    return sums.select(group, within(F.transform("m", lambda x: x["x"])).alias("r")).select(group, "r.*")
+
+
 def stereotype_shift(items: DataFrame, selected: DataFrame, prototype: DataFrame, pool: str = "pool_id", label: str = "label") -> DataFrame:
     """``(pool, shift)``: mean prototypicality of the selection less that of the pool, in the pool's sample standard deviations."""
     p = prototype.select(label, F.col("proto"))

@@ -124,6 +124,20 @@ def rarefaction(df: DataFrame, group: list[str], m: int, label: str = "label") -
     )
 
 
+def diversity_at(df: DataFrame, group: list[str], m: int, label: str = "label") -> DataFrame:
+    """``(group, n, at, diversity)``: the expected normalized diversity of ``m`` of a group's labels, of all of them where there are fewer, and null for
+    fewer than two: the normalized score falls with the size of a set, so sets are compared at one size."""
+    c = df.where(F.col(label).isNotNull()).groupBy(*group, label).agg(F.count("*").alias("c"))
+    g = c.groupBy(*group).agg(F.sort_array(F.collect_list("c")).alias("counts"), F.sum("c").alias("n"))
+    g = g.withColumn("at", F.least(F.lit(m).cast("long"), F.col("n")))
+
+    @F.pandas_udf("double")
+    def score(counts: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([rarefied([int(v) for v in x], int(k)) if k >= 2 else None for x, k in zip(counts, at)], dtype=float)
+
+    return g.select(*group, "n", "at", F.nullif(score("counts", "at"), F.lit(float("nan"))).alias("diversity"))
+
+
 # ---- embeddings
 
 

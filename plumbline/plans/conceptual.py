@@ -57,3 +57,13 @@ def m16(spark, sf):
     i = items(spark, sf)
     proto = i.groupBy("label").agg(F.count("*").cast("double").alias("proto"))
     return rounded(M.stereotype_shift(i, top_k(i, 16), proto))
+
+
+@query("m15_country_loss")
+def m15(spark, sf):
+    """How much of a direction lies within the span of each label's vectors, at a fixed rank, and at that which explains nine tenths."""
+    v = vectors(spark, sf)
+    w = [((7 * i + 3) % 11 - 5) / 5.0 for i in range(64)]
+    fixed = M.country_loss(v, "label", w, 8).select("label", F.col("loss").alias("fixed"))
+    free = M.country_loss(v, "label", w, variance=0.9).select("label", "rank", F.col("loss").alias("free"))
+    return rounded(fixed.join(free, "label"))

@@ -356,3 +356,9 @@ def t14o(spark, sf):
     l = j.groupBy("vocab_id", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "decoy"))), lambda x: x["decoy"]).alias("decoys"))
     options, place = X.choice_options(F.col("vocab_id").cast("string"), F.col("name"), F.col("decoys"))
     return l.select("vocab_id", place.alias("true_pos"), options.alias("option_list"))
+
+
+@query("d11_diversity_at")
+def d11(spark, sf):
+    """Each pool's label diversity at eight items."""
+    return rounded(D.diversity_at(items(spark, sf), ["pool_id"], 8))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import runtime
+from plumbline.operators import concepts
 from plumbline.operators import deciding as J
 from plumbline.operators import diversity as D
 from plumbline.operators import inference as I
@@ -230,6 +231,27 @@ def test_vendi_of_small_and_large_groups_agree(spark, monkeypatch):
     assert small["b"][1] == pytest.approx(S.log_vendi(u / np.linalg.norm(u, axis=1, keepdims=True)))
 
 
+def test_diversity_at_a_size_and_its_edges(spark):
+    rows = [("a", "x")] * 3 + [("a", "y")] * 3 + [("b", "x"), ("b", "y"), ("c", "x"), ("d", None)]
+    got = {r["g"]: (r["at"], r["diversity"]) for r in D.diversity_at(spark.createDataFrame(rows, "g string, label string"), ["g"], 4).collect()}
+    assert got["a"] == (4, pytest.approx(D.rarefied([3, 3], 4))) and got["b"] == (2, pytest.approx(1.0)) and got["c"] == (1, None) and "d" not in got
+
+
+def test_country_loss_at_a_fixed_rank(spark):
+    rng = np.random.default_rng(5)
+    x = {"a": rng.normal(size=(30, 6)) * [5, 3, 1, 0, 0, 0], "b": rng.normal(size=(4, 6)), None: np.ones((3, 6))}
+    rows = [(g, [float(v) for v in r]) for g, e in x.items() for r in e]
+    df = spark.createDataFrame([*rows, ("a", None)], "g string, embedding array<double>").repartition(4)
+    w = rng.normal(size=6)
+    for rank, variance in ((2, None), (10, None), (1, 0.8)):
+        for r in concepts.country_loss(df, "g", list(w), rank, variance).collect():
+            e = x[r["g"]] - x[r["g"]].mean(0)
+            _, s, v = np.linalg.svd(e, full_matrices=False)
+            real = int((s > 1e-8 * s[0]).sum()) if s[0] > 1e-9 else 0
+            keep = min(rank, real) if variance is None else min(int(np.searchsorted(np.cumsum(s[:real] ** 2) / (s[:real] ** 2).sum(), variance) + 1), real) if real else 0
+            assert (r["rank"], r["loss"]) == (keep, pytest.approx(np.linalg.norm(v[:keep] @ w) / np.linalg.norm(w), abs=1e-6))
+
+
 # ---- stores, checks and written tables
 
 
