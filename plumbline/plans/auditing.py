@@ -169,12 +169,20 @@ def b2(spark, sf):
     return rounded(B.bootstrap_mean(contrast(spark, sf, 16, 8), ["country", "template"], "pool_id", "delta", 50))
 
 
-@query("b4_simultaneous_intervals")
+_B4_SQL = f"""WITH {contrast_sql(16, 8)}, {CELLS}, pt AS (SELECT country, avg(mean) AS e0, sqrt(sum(v) / (count(*) * count(*))) AS se0 FROM cm GROUP BY country),
+    {boot_sql("country, template", "pool_id", "pc", 200, "boot")}, bc AS (SELECT draw, country, template, avg(delta) AS m, var_samp(delta) / count(*) AS v FROM bs GROUP BY ALL),
+    bk AS (SELECT draw, country, avg(m) AS m, sqrt(sum(v) / (count(*) * count(*))) AS se FROM bc GROUP BY ALL),
+    bt AS (SELECT draw, max(abs(m - e0) / CASE WHEN se > 0 THEN se END) AS t, count(*) FILTER (WHERE NOT (se > 0)) AS bad FROM bk JOIN pt ON pt.country = bk.country GROUP BY draw),
+    q AS (SELECT CASE WHEN avg((bad > 0)::INT) <= 0.01 THEN quantile_cont(t, 0.95) FILTER (WHERE bad = 0) END AS q FROM bt)
+    SELECT country, round(e0, 6) AS estimate, round(e0 - q * se0, 6) AS lo, round(e0 + q * se0, 6) AS hi FROM pt, q"""
+
+
+@query("b4_simultaneous_intervals", _B4_SQL)
 def b4(spark, sf):
     """Bootstrap-t intervals that hold for all countries at once."""
     d = contrast(spark, sf, 16, 8)
     points = I.country_moments(I.cell_moments(d)).select("country", F.col("mean").alias("estimate"), F.sqrt("var").alias("se"))
-    cells = I.cell_moments(B.resample(d, ["country", "template"], "pool_id", 50), by=["draw"])
+    cells = I.cell_moments(B.resample(d, ["country", "template"], "pool_id", 200), by=["draw"])
     reps = I.country_moments(cells, by=["draw"]).select("draw", "country", F.col("mean").alias("m"), F.sqrt("var").alias("se"))
     return rounded(B.max_modulus(reps, points, "country"))
 

@@ -112,6 +112,17 @@ def b5(spark, sf):
     return rounded(r.withColumn("f", F.round("f", 5)))
 
 
+@query(
+    "i10_welch_statistic",
+    f"""WITH {contrast_sql(16, 32)}, {CELLS}, own AS (SELECT 1 AS one, country, avg(mean) AS mean, sum(v) / (count(*) * count(*)) AS var, sum(v) * sum(v) / sum(v * v / (pools - 1)) AS df FROM cm GROUP BY country)
+    SELECT round(f, 5) AS f FROM {_welch_sql("own", "one")}""",
+)
+def i10f(spark, sf):
+    """The statistic of the test of heterogeneity; its tail is in ``i10_heterogeneity``."""
+    own = I.country_moments(I.cell_moments(contrast(spark, sf, 16, 32)))
+    return J.welch_statistic(own.withColumn("one", F.lit(1)), ["one"]).select(F.round("f", 5).alias("f"))
+
+
 #: Photos checked by a reader, with the quartile of the yes-probability within the country.
 _KEEP_SQL = f"""{PHOTOS_SQL}, {CHECKS_SQL}, k AS (SELECT p.country, p.dish_id, c.image_id, c.reader, c.kept::INT AS kept,
         least(4 * (row_number() OVER (PARTITION BY p.country ORDER BY c.p_yes, c.image_id, c.reader) - 1) // greatest(count(*) OVER (PARTITION BY p.country) - 1, 1), 3) AS q

@@ -224,7 +224,15 @@ def d23(spark, sf):
     return rounded(D.mix_decomposition(b, ["country"], "label", "bin", "ok", 0, 3))
 
 
-@query("d24_kept_insufficiency")
+_LNC = "lgamma({a} + 1.0) - lgamma({b} + 1.0) - lgamma({a} - {b} + 1.0)"
+
+
+@query(
+    "d24_kept_insufficiency",
+    f"""WITH {ITEMS_SQL}, p AS (SELECT n, kept, count(*) AS pools FROM (SELECT pool_id, count(*) AS n, count(*) FILTER (WHERE idx % 2 = 0) AS kept FROM items GROUP BY pool_id) GROUP BY ALL), k AS (SELECT *, least(16, n) AS k FROM p),
+    t AS (SELECT k.*, CASE WHEN j <= kept AND k - j <= n - kept AND j <= k THEN exp({_LNC.format(a="kept", b="j")} + {_LNC.format(a="(n - kept)", b="(k - j)")} - ({_LNC.format(a="n", b="k")})) ELSE 0 END AS x FROM k CROSS JOIN (SELECT unnest(range(0, 8)) AS j))
+    SELECT n, kept, pools, round(sum(x), 6) AS lacking FROM t GROUP BY ALL""",
+)
 def d24(spark, sf):
     """The exact chance that a random 16 of a pool keeps fewer than 8 of its even-numbered items."""
     from plumbline.functions.stats import hypergeom_below
