@@ -101,8 +101,12 @@ def permuted(df: DataFrame, stratum: list[str], unit: str, label: str, draws: in
     return d.drop(label, "_to", "_p").join(labels, [*keys, "_from"]).withColumnRenamed("_label", label).drop("_from")
 
 
+#: Parts of the unit interval in which draws find their step of the ladder of cumulative weights.
+LADDER_PARTS = 1_000
+
+
 def weighted_draws(df: DataFrame, weight: str, value: str, n: int, salt: str = "zipf", group: str | None = None) -> DataFrame:
-    """``n`` draws with replacement of a value with chances in proportion to its weight, by the cumulative weights of a small table."""
+    """``n`` draws with replacement of a value with chances in proportion to its weight, by the cumulative weights."""
     keys = [group] if group else []
     w = Window.partitionBy(*keys).orderBy(value)
     upto = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -111,8 +115,11 @@ def weighted_draws(df: DataFrame, weight: str, value: str, n: int, salt: str = "
     groups = df.select(*keys).distinct() if group else df.sparkSession.range(1).select()
     draws = with_draws(groups, n)
     u = (F.conv(F.substring(priority(salt, *keys, "draw"), 1, 8), 16, 10).cast("double")) / F.lit(4294967296.0)
-    draws = draws.withColumn("u", u)
-    joined = draws.join(ladder, keys) if group else draws.crossJoin(F.broadcast(ladder))
+    # Numbers and steps of the ladder meet in parts of the unit interval, so each is compared with few.
+    part = lambda x: F.floor(F.col(x) * LADDER_PARTS)
+    draws = draws.withColumn("u", u).withColumn("_part", part("u"))
+    ladder = ladder.withColumn("_part", F.explode(F.sequence(part("lo"), part("hi"))))
+    joined = draws.join(ladder, [*keys, "_part"])
     return joined.where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select(*keys, "draw", value)
 
 

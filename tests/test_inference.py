@@ -84,3 +84,10 @@ def test_integrity(spark):
     a = spark.createDataFrame([("a", 1)], "k string, v int")
     b = spark.createDataFrame([("a", 2), ("b", 3)], "k string, v int")
     assert sorted(tuple(r) for r in C.first_wins([a, b], ["k"]).collect()) == [("a", 1), ("b", 3)]
+
+
+def test_weighted_draws_follow_the_weights_with_and_without_groups(spark):
+    df = spark.createDataFrame([("g", "a", 6.0), ("g", "b", 3.0), ("g", "c", 1.0)], "g string, v string, w double")
+    whole = [r["v"] for r in B.weighted_draws(df, "w", "v", 2000).collect()]
+    assert len(whole) == 2000 and whole.count("a") / 2000 == pytest.approx(0.6, abs=0.05) and whole.count("c") / 2000 == pytest.approx(0.1, abs=0.04)
+    assert B.weighted_draws(df, "w", "v", 50, group="g").count() == 50
