@@ -263,6 +263,18 @@ def t7(spark, sf):
     return K.match_labels(read(spark, sf, "reader_labels"), "raw", read(spark, sf, "vocab"), "name", "country", PEOPLE)
 
 
+@query("reader_label_records")
+def records(spark, sf):
+    """What each reader said, from the stored reply where there is one, and what the vocabulary makes of it."""
+    r = readings(spark, sf)
+    reply = F.when(F.col("raw").isNotNull(), F.to_json(F.struct(F.col("raw").alias("dish"), "country")))
+    tags = r.select("image_id", "reader", "label", "country", reply.alias("reply"))
+    said = tags.select(F.explode(F.array(X.json_field(F.col("reply"), "dish"), F.col("label"))).alias("said"))
+    matches = K.match_labels(said, "said", read(spark, sf, "vocab"), "name", "country", PEOPLE)
+    rows = K.reader_records(tags, "reply", "label", "country", matches, "said").groupBy("reader")
+    return rows.agg(F.count("*").alias("readings"), F.count("said").alias("resolved"), F.count_if("in_vocab").alias("in_vocab"), F.countDistinct("matched").alias("labels"))
+
+
 _KEYS_SQL = f"keys AS (SELECT DISTINCT {norm_sql('name')} AS k FROM vocab WHERE name IS NOT NULL)"
 _BAG = "list_aggregate(list_sort([CASE WHEN length(w) > 3 AND w LIKE '%s' THEN w[:-2] ELSE w END for w in string_split({}, ' ')]), 'string_agg', ' ')"
 
