@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -66,6 +67,20 @@ def test_resamples_keep_cell_sizes(spark):
     assert r["estimate"] == pytest.approx(14.5) and r["lo"] < 14.5 < r["hi"]
 
 
+def test_resamples_look_units_up_in_packed_cells(spark, monkeypatch):
+    rows = [(f"c{i % 3}" if i < 29 else None, i, float(i * i)) for i in range(31)]
+    df = spark.createDataFrame(rows, "cell string, unit long, v double")
+    cells = {c: [(u, v) for k, u, v in rows if k == c] for c in ("c0", "c1", "c2")}
+    at = lambda c, d, p: int(hashlib.md5(f"boot#{d}#{c}#{p}".encode()).hexdigest()[:8], 16) % len(cells[c])
+    expected = sorted((c, d, p, *cells[c][at(c, d, p)]) for c in cells for d in range(1, 13) for p in range(1, len(cells[c]) + 1))
+    packed = B.resample(df, ["cell"], "unit", 12)
+    assert sorted(map(tuple, packed.select("cell", "draw", "place", "unit", "v").collect())) == expected
+    assert "Join" not in packed._jdf.queryExecution().executedPlan().toString()  # no row of a resample is shuffled
+    monkeypatch.setattr(B, "PACKED_UNITS", 9)  # c2 is packed, the larger cells are joined
+    mixed = B.resample(df, ["cell"], "unit", 12)
+    assert sorted(map(tuple, mixed.select("cell", "draw", "place", "unit", "v").collect())) == expected
+
+
 def test_half_samples_and_permutations(spark):
     df = spark.range(7).selectExpr("1 AS cell", "id AS unit", "CAST(id AS string) AS label")
     assert B.half_samples(df, ["cell"], "unit", 2).groupBy("draw").count().collect()[0]["count"] == 4
