@@ -64,8 +64,8 @@ def test_drawn_labels_are_those_of_random_k(spark, held):
     assert got == {tuple(r[:3]): r[3] for r in s.collect()}
 
 
-@pytest.mark.parametrize("of", ["contrast"])
+@pytest.mark.parametrize("of", ["contrast", "endpoint"])
 def test_draws_are_not_shuffled(spark, of):
     df = world(spark, [20, 30])
-    made = I.pool_contrast(df, 8, 16)
+    made = I.pool_contrast(df, 8, 16) if of == "contrast" else I.endpoint(df, 8, 4, 200)
     assert "sequence" not in made._jdf.queryExecution().executedPlan().toString()  # no row is repeated for its draws
