@@ -27,6 +27,14 @@ def test_mean_jaccard_equals_all_pairs(spark):
     assert got == {"x": pytest.approx(np.mean(pairs)), "y": None}
 
 
+def test_equal_sets_are_counted_not_paired(spark):
+    many = spark.range(30_000).selectExpr("'x' AS country", "CASE id % 3 WHEN 0 THEN array('a', 'b') WHEN 1 THEN array('b') ELSE array() END AS s", "array('z') AS one")
+    n, empty = 30_000, 10_000  # 450 million pairs of pools, one of different sets with labels
+    pairs = n * (n - 1) / 2 - empty * (empty - 1) / 2
+    r = P.set_jaccard(many, ["country"], {"both": "s", "same": "one"}).first()
+    assert r["both"] == pytest.approx((2 * 10_000 * 9_999 / 2 + 10_000 * 10_000 * 0.5) / pairs) and r["same"] == 1
+
+
 def test_repetition_sees_what_scores_repeat(spark):
     rows = [("x", p, i, "top" if i < 8 else f"l{(i * 7 + p) % 9}", float(-i)) for p in range(5) for i in range(40)] + [("x", 0, 90, None, -99.0)]
     r = P.repetition(spark.createDataFrame(rows, "country string, pool_id int, idx int, label string, score double"), 8, 12).first()
