@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import deciding as J
 from plumbline.operators import diversity as D
 from plumbline.operators import draws as W
 from plumbline.operators import inference as I
@@ -69,3 +70,8 @@ def test_draws_are_not_shuffled(spark, of):
     df = world(spark, [20, 30])
     made = I.pool_contrast(df, 8, 16) if of == "contrast" else I.endpoint(df, 8, 4, 200)
     assert "sequence" not in made._jdf.queryExecution().executedPlan().toString()  # no row is repeated for its draws
+
+
+def test_dose_rows_shuffle_no_draw(spark):
+    rows = J.dose_rows(world(spark, [20, 30]), [4, 8], 50)
+    assert "sequence" not in rows._jdf.queryExecution().executedPlan().toString()
