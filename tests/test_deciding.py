@@ -288,3 +288,16 @@ def test_salted_joins_equal_broadcast_ones(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(runtime, "BROADCAST_LIMIT_BYTES", 0)
             assert {tuple(r) for r in runtime.salted_join(left, right, ["k"], 2, 16, how).select("k", "v", "w").collect()} == want
+
+
+def test_spread_resamples_its_pools_once(spark, monkeypatch):
+    from plumbline.plans import deciding as P
+
+    seen, rule = [], J.spread_rule
+    monkeypatch.setattr(J, "spread_rule", lambda countries, intervals, *rest: seen.extend([countries, intervals]) or rule(countries, intervals, *rest))
+    d = W.planted_world(spark, 1, 1.0).groupBy("country", "template", "pool_id").agg(F.avg("score").alias("delta"))
+    monkeypatch.setattr(P, "contrast", lambda *_: d)
+    assert P._spread(spark, "")["status"].startswith(("het", "non"))
+    for df in seen:  # read several times, so a written row a country
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == 8 and "Aggregate" not in plan and "Generate" not in plan
