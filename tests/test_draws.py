@@ -75,3 +75,15 @@ def test_draws_are_not_shuffled(spark, of):
 def test_dose_rows_shuffle_no_draw(spark):
     rows = J.dose_rows(world(spark, [20, 30]), [4, 8], 50)
     assert "sequence" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dose_rows_are_endpoints_of_each_k_drawn_at_once(spark, held):
+    df, ks = world(spark, [20, 30, 5, 90, 24, 9]).withColumn("label", F.coalesce("label", F.lit("e"))), [4, 8, 24]
+    rows = J.dose_rows(df, ks, 12)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # one pass over the items draws for every k
+    got = {(r["k"], r["pool_id"]): r for r in rows.collect()}
+    expected = {(k, r["pool_id"]): r for k in ks for r in I.endpoint(df, k, 4, 12).where(f"n_pool >= {k}").collect()}
+    assert got.keys() == expected.keys() and {k for k, _ in got} == set(ks)
+    for key, r in expected.items():
+        for c in r.asDict():
+            assert got[key][c] == (pytest.approx(r[c], abs=1e-9) if isinstance(r[c], float) else r[c]), (key, c)
