@@ -11,6 +11,7 @@ from plumbline.operators import deciding as J
 from plumbline.operators import diversity as D
 from plumbline.operators import draws as W
 from plumbline.operators import inference as I
+from plumbline.operators import resampling as B
 from plumbline.operators import selection as S
 
 KINDS = "pool_id long, idx long, label string, score double, keep boolean, country int, template int"
@@ -87,3 +88,16 @@ def test_dose_rows_are_endpoints_of_each_k_drawn_at_once(spark, held):
     for key, r in expected.items():
         for c in r.asDict():
             assert got[key][c] == (pytest.approx(r[c], abs=1e-9) if isinstance(r[c], float) else r[c]), (key, c)
+
+
+def test_places_of_a_resample_are_hashed_as_whole_arrays(spark, monkeypatch):
+    n = 700  # more than FEW_TAILS
+    df = spark.range(n).selectExpr("1.5D AS cell", "id AS unit", "if(id % 7 = 0, NULL, id) AS v").unionByName(spark.sql("SELECT 2.0D AS cell, 5000L AS unit, 3L AS v"))
+    made = B.resample(df, ["cell"], "unit", 9)
+    assert made.columns == ["cell", "draw", "place", "unit", "v"] and "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    at = lambda d, p: int(hashlib.md5(f"boot#{d}#1.5#{p}".encode()).hexdigest()[:8], 16) % n
+    expected = [(1.5, d, p, at(d, p), at(d, p) if at(d, p) % 7 else None) for d in range(1, 10) for p in range(1, n + 1)] + [(2.0, d, 1, 5000, 3) for d in range(1, 10)]
+    assert sorted(map(tuple, made.collect()), key=lambda r: r[:3]) == sorted(expected, key=lambda r: r[:3])
+    monkeypatch.setattr(W, "ARRAY", 64)
+    tails = [str(i) for i in range(n)]
+    assert W.leading(["a#", "bc#"], tails).tolist() == [[int(hashlib.md5((h + t).encode()).hexdigest()[:8], 16) for t in tails] for h in ("a#", "bc#")]
