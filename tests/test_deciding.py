@@ -301,3 +301,12 @@ def test_spread_resamples_its_pools_once(spark, monkeypatch):
     for df in seen:  # read several times, so a written row a country
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert df.count() == 8 and "Aggregate" not in plan and "Generate" not in plan
+
+
+def test_gains_are_written_once_and_shared(spark, monkeypatch):
+    from plumbline.plans import deciding as P
+
+    monkeypatch.setattr(P, "items", lambda *_: W.planted_world(spark, 1, 1.0))
+    made = P.gains(spark, "planted")
+    assert made is P.gains(spark, "planted") and "Window" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in made.collect()} == {tuple(r) for r in P._gains(spark, "planted").collect()}
