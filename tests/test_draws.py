@@ -90,6 +90,27 @@ def test_dose_rows_are_endpoints_of_each_k_drawn_at_once(spark, held):
             assert got[key][c] == (pytest.approx(r[c], abs=1e-9) if isinstance(r[c], float) else r[c]), (key, c)
 
 
+def test_endpoints_shuffle_the_items_once(spark):
+    plan = J.dose_rows(world(spark, [20, 30]), [4, 8], 50)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_best_of_pools_that_span_batches_are_those_of_top_k(spark, held):
+    odd = F.when(F.col("idx") % 3 == 0, F.lit(None)).when(F.col("idx") % 5 == 0, F.lit(math.nan)).otherwise(F.round("score", 1))  # nulls, NaN and ties
+    df = world(spark, [20, 5, 40, 1, 16, 90]).withColumn("score", odd)
+    got = {(r["pool_id"], r["k"]): r for r in W.kept_parts(df, [4, 8], 4, 12).collect()}
+    n = {r[0]: r[1:] for r in df.groupBy("pool_id").agg(F.count("*"), F.count_if("keep")).collect()}
+    assert got.keys() == {(p, k) for p in n for k in (4, 8)}
+    for k in (4, 8):
+        top = S.top_k(df, k)
+        kept = {r[0]: r[1] for r in top.groupBy("pool_id").agg(F.count_if("keep")).collect()}
+        d = {r["pool_id"]: r["rarefied"] for r in D.rarefaction(top.where("keep"), ["pool_id"], 4).collect()}
+        for p, (items, good) in n.items():
+            r, x = got[p, k], d.get(p)
+            assert (r["n_pool"], r["n_kept"], r["kept_selected"]) == (items, good, kept[p])
+            assert r["log_selected"] is None if x is None else math.isclose(r["log_selected"], math.log(x), abs_tol=1e-9)
+
+
 def test_places_of_a_resample_are_hashed_as_whole_arrays(spark, monkeypatch):
     n = 700  # more than FEW_TAILS
     df = spark.range(n).selectExpr("1.5D AS cell", "id AS unit", "if(id % 7 = 0, NULL, id) AS v").unionByName(spark.sql("SELECT 2.0D AS cell, 5000L AS unit, 3L AS v"))
