@@ -3,14 +3,17 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import stats as T
 from plumbline.operators import deciding as J
 from plumbline.operators import diversity as D
 from plumbline.operators import draws as W
 from plumbline.operators import inference as I
+from plumbline.operators import reporting as P
 from plumbline.operators import resampling as B
 from plumbline.operators import selection as S
 
@@ -95,6 +98,24 @@ def test_endpoints_shuffle_the_items_once(spark):
     assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
+def test_reason_histogram_shuffles_the_items_once(spark, held):
+    df = world(spark, [20, 30, 5, 90, 24, 9, 40])
+    h = P.reason_histogram(J.dose_rows(df, [4, 8], 12), ["k"])
+    plan = h._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Join" not in plan  # the items, and the counts of reasons
+    pools, expected = {}, Counter()
+    for r in df.where("pool_id IS NOT NULL").collect():
+        pools.setdefault(r["pool_id"], []).append((-r["score"], r["keep"] is True))
+    for k in (4, 8):
+        for rows in pools.values():
+            rows.sort()
+            if len(rows) >= k:
+                few, lacking = sum(x for _, x in rows[:k]) < 4, T.hypergeom_below(len(rows), sum(x for _, x in rows), k, 4) > I.MAX_LACKING
+                if few or lacking:
+                    expected[k, "selection keeps too few" if few else "null draws keep too few"] += 1
+    assert {(r["k"], r["reason"]): r["pools"] for r in h.collect()} == expected and len(expected) > 2
+
+
 def test_best_of_pools_that_span_batches_are_those_of_top_k(spark, held):
     odd = F.when(F.col("idx") % 3 == 0, F.lit(None)).when(F.col("idx") % 5 == 0, F.lit(math.nan)).otherwise(F.round("score", 1))  # nulls, NaN and ties
     df = world(spark, [20, 5, 40, 1, 16, 90]).withColumn("score", odd)
