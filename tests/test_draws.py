@@ -69,6 +69,12 @@ def test_drawn_labels_are_those_of_random_k(spark, held):
     assert got == {tuple(r[:3]): r[3] for r in s.collect()}
 
 
+def test_what_draws_of_labels_hash_is_not_shuffled(spark):
+    plan = W.drawn_labels(world(spark, [20, 30]), 6, 5, "country")._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange", 1)
+    assert "concat_ws" in above and "concat_ws" not in below
+
+
 @pytest.mark.parametrize("of", ["contrast", "endpoint"])
 def test_draws_are_not_shuffled(spark, of):
     df = world(spark, [20, 30])
