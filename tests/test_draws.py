@@ -75,6 +75,14 @@ def test_what_draws_of_labels_hash_is_not_shuffled(spark):
     assert "concat_ws" in above and "concat_ws" not in below
 
 
+def test_what_draws_of_contrasts_hash_is_not_shuffled(spark):
+    plan = I.pool_contrast(world(spark, [20, 30]), 8, 16)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    drawn = next(i for i, x in enumerate(lines) if "MapInArrow" in x)
+    shuffle = next(i for i, x in enumerate(lines) if i > drawn and "Exchange" in x)
+    assert any("concat_ws" in x for x in lines[drawn:shuffle]) and not any("concat_ws" in x for x in lines[shuffle:])
+
+
 @pytest.mark.parametrize("of", ["contrast", "endpoint"])
 def test_draws_are_not_shuffled(spark, of):
     df = world(spark, [20, 30])
